@@ -99,10 +99,10 @@ st AS (SELECT entity_id, effective_date, {SAME.format("status")} AS s FROM entit
        QUALIFY row_number() OVER (PARTITION BY entity_id, effective_date ORDER BY received_at DESC, event_id DESC) = 1),
 turn AS (SELECT * FROM (SELECT *, lag(s) OVER (PARTITION BY entity_id ORDER BY effective_date) AS b FROM st) WHERE b IS DISTINCT FROM s),
 statuses AS (SELECT 'e:' || entity_id AS subject_key, effective_date AS f, lead(effective_date) OVER (PARTITION BY entity_id ORDER BY effective_date) AS t, s AS value FROM turn),
-rel AS (SELECT 'r:' || source_entity_id || '|' || target_entity_id || '|' || relationship_type AS k, relationship_start_date AS a, coalesce(relationship_end_date, DATE '9999-12-31') AS b
+rel AS (SELECT id, 'r:' || source_entity_id || '|' || target_entity_id || '|' || relationship_type AS k, relationship_start_date AS a, coalesce(relationship_end_date, DATE '9999-12-31') AS b
         FROM entity_relationships WHERE relationship_start_date IS NOT NULL AND (relationship_end_date IS NULL OR relationship_end_date > relationship_start_date)),
-mark AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM rel WHERE k IS NOT NULL),
-grp AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM mark),
+mark AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY k ORDER BY a, b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM rel WHERE k IS NOT NULL),
+grp AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY a, b, id ROWS UNBOUNDED PRECEDING) AS g FROM mark),
 ties AS (SELECT k AS subject_key, min(a) AS f, max(b) AS t, 'active' AS value FROM grp GROUP BY k, g),
 every AS (SELECT * FROM owners UNION ALL SELECT * FROM statuses UNION ALL SELECT * FROM ties)
 SELECT subject_key, strftime(f, '%Y-%m-%d') AS valid_from, coalesce(strftime(t, '%Y-%m-%d'), '9999-12-31') AS valid_to{{value}} FROM every"""

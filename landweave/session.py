@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="landweave-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """Make this package importable in the session's Python workers (once per application), and return ``df``."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        root = pathlib.Path(__file__).parent
+        to = pathlib.Path(tempfile.mkdtemp(prefix="landweave-")) / "landweave_package.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(to))
+        _shipped.add(sc.applicationId)
+    return df
