@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.catalog import table
+from landweave.llm.additive import nearest, neighbour_pairs
 from landweave.llm.packing import pack
+from landweave.llm.readability import reading_levels
 from landweave.llm.tokenizer import count_tokens, decode_ids, encode_texts
 
 
@@ -30,5 +32,20 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.groupBy(F.floor(F.col("used") / 256).alias("eighth")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_containers, p9_fill)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs(nearest(table(spark, d, "ordinance_embeddings")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples")).where("band is not null").select("doc_id", "band")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of each source are in each band."""
+    docs = table(spark, d, "documents")
+    levels = reading_levels(docs, table(spark, d, "reading_samples"))
+    return levels.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_profile)}
 ORACLES = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
