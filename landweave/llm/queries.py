@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from landweave.catalog import table
 from landweave.llm.additive import nearest, neighbour_pairs
+from landweave.llm.addresses import same_locations
 from landweave.llm.packing import pack
 from landweave.llm.readability import reading_levels
 from landweave.llm.tokenizer import count_tokens, decode_ids, encode_texts
+from landweave.operators.incidents import latest_parcels
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +34,19 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.groupBy(F.floor(F.col("used") / 256).alias("eighth")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def address_records(spark: SparkSession, d: str) -> DataFrame:
+    """record, market, address of entities and of the latest parcels (property and mailing address)."""
+    parcels = latest_parcels(table(spark, d, "bulk_property_records"), table(spark, d, "bulk_data_snapshots"), site="property_address", mail="mailing_address")
+    both = F.explode(F.array(F.struct(F.lit("p:").alias("s"), F.col("site").alias("address")), F.struct(F.lit("m:").alias("s"), F.col("mail").alias("address"))))
+    of_parcels = parcels.select("market", "parcel_key", both.alias("x")).select(F.concat("x.s", "parcel_key").alias("record"), "market", "x.address")
+    of_entities = table(spark, d, "entities").select(F.concat(F.lit("e:"), F.col("id").cast("string")).alias("record"), F.col("first_seen_market_id").alias("market"), F.col("primary_address").alias("address"))
+    return of_entities.unionByName(of_parcels).where("address is not null")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_locations(address_records(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(nearest(table(spark, d, "ordinance_embeddings")))
 
@@ -47,5 +62,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_profile)}
 ORACLES = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
