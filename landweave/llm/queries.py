@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from landweave.catalog import table
 from landweave.llm.additive import nearest, neighbour_pairs
 from landweave.llm.addresses import same_locations
+from landweave.llm.attribution import same_names
 from landweave.llm.packing import pack
 from landweave.llm.readability import reading_levels
 from landweave.llm.tokenizer import count_tokens, decode_ids, encode_texts
 from landweave.operators.incidents import latest_parcels
 
 
+def name_records(spark: SparkSession, d: str) -> DataFrame:
+    """record, market, name of entities and of the owners of the latest parcels."""
+    parcels = latest_parcels(table(spark, d, "bulk_property_records"), table(spark, d, "bulk_data_snapshots"), name="owner_name")
+    owners = parcels.where("name is not null").select(F.concat(F.lit("o:"), "parcel_key").alias("record"), "market", "name")
+    return table(spark, d, "entities").select(F.concat(F.lit("e:"), F.col("id").cast("string")).alias("record"), F.col("first_seen_market_id").alias("market"), F.coalesce("name", "canonical_name").alias("name")).unionByName(owners)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_names(name_records(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
@@ -62,5 +74,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p7_found, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_profile)}
 ORACLES = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
