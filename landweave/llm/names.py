@@ -44,6 +44,14 @@ class Name(NamedTuple):
     extra: str
 
 
+def squeezed(text: str) -> str:
+    """Letters and digits in upper case, words kept apart, without the legal form."""
+    s = re.sub(r"[^A-Z0-9]+", " ", text.upper())
+    for pattern, _ in _FORMS:
+        s = pattern.sub(" ", s)
+    return s
+
+
 @lru_cache(200_000)
 def given_name(token: str) -> str:
     """The full form of a given name, also of one with a typing error; empty if it is none."""

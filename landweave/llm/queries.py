@@ -9,12 +9,26 @@ from landweave.catalog import table
 from landweave.llm.additive import nearest, neighbour_pairs
 from landweave.llm.addresses import same_locations
 from landweave.llm.attribution import same_names
+from landweave.llm.linkage import registry_links
 from landweave.llm.packing import pack
 from landweave.llm.readability import reading_levels
 from landweave.llm.tokenizer import count_tokens, decode_ids, encode_texts
 from landweave.operators.incidents import latest_parcels
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return registry_links(table(spark, d, "entities"), table(spark, d, "bulk_llc_records"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).select("entity_id", "document_number")
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The links with their confidence."""
+    return _links(spark, d)
+
+
 def name_records(spark: SparkSession, d: str) -> DataFrame:
     """record, market, name of entities and of the owners of the latest parcels."""
     parcels = latest_parcels(table(spark, d, "bulk_property_records"), table(spark, d, "bulk_data_snapshots"), name="owner_name")
@@ -74,5 +88,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p7_found, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_confidence, p7_found, p8_ids, p8_round_trip, p9_containers, p9_fill, p10_found, p10_profile)}
 ORACLES = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
