@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from landweave.queries import general
+from landweave.queries import aggregates, general
 
-QUERIES = {**general.QUERIES}
-ORACLES = {**general.ORACLES}
+QUERIES = {**general.QUERIES, **aggregates.reg.queries}
+ORACLES = {**general.ORACLES, **aggregates.reg.sql}
