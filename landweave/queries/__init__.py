@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from landweave.queries import aggregates, general
+from landweave.queries import aggregates, filters, general
 
-QUERIES = {**general.QUERIES, **aggregates.reg.queries}
-ORACLES = {**general.ORACLES, **aggregates.reg.sql}
+QUERIES = {**general.QUERIES, **aggregates.reg.queries, **filters.reg.queries}
+ORACLES = {**general.ORACLES, **aggregates.reg.sql, **filters.reg.sql}
