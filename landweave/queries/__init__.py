@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from landweave.queries import aggregates, filters, general
+from landweave.queries import aggregates, filters, general, joins, scalars
 
-QUERIES = {**general.QUERIES, **aggregates.reg.queries, **filters.reg.queries}
-ORACLES = {**general.ORACLES, **aggregates.reg.sql, **filters.reg.sql}
+QUERIES = {**general.QUERIES, **aggregates.reg.queries, **filters.reg.queries, **scalars.reg.queries, **joins.reg.queries}
+ORACLES = {**general.ORACLES, **aggregates.reg.sql, **filters.reg.sql, **scalars.reg.sql, **joins.reg.sql}
