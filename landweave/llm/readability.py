@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from landweave.session import ship
 
@@ -203,7 +204,10 @@ def reading_levels(documents: DataFrame, samples: DataFrame, key: str = "doc_id"
 
     ``most_samples``: so many graded samples, those of smallest id, are used for training at most."""
     rows = samples.where("text is not null and band is not null").orderBy("sample_id").select("text", "band").limit(most_samples).collect()
-    model, _ = train([(r[0], r[1]) for r in rows])
+    if not rows:
+        model = Boosted(float("nan"), 0.0, [])  # no grade without samples
+    else:
+        model, _ = train([(r[0], r[1]) for r in rows])
     shared = ship(documents).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -222,4 +226,6 @@ def reading_levels(documents: DataFrame, samples: DataFrame, key: str = "doc_id"
             known = ~np.isnan(grade)
             yield pd.DataFrame({key: pdf[key], "n_words": n, "english": english, "grade": pd.Series(grade, dtype="Float64").where(known), "band": pd.Series(bands, dtype="Int32").where(known)})
 
-    return documents.select(key, text).mapInPandas(run, f"`{key}` {dict(documents.dtypes)[key]}, n_words int, english boolean, grade double, band int")
+    kind = dict(documents.dtypes)[key]  # the key travels as text, since pandas has no whole numbers with nulls
+    out = documents.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, f"`{key}` string, n_words int, english boolean, grade double, band int")
+    return out.withColumn(key, F.col(key).cast(kind))
