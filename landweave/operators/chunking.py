@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landweave.session import spread
+
 
 def sentences(text: Column) -> Column:
     """Pieces between a full stop, question or exclamation mark and a blank followed by a capital, or at blank lines.
@@ -43,7 +45,7 @@ def boundaries(parts: Column, target: int, most: int) -> Column:
 def chunk(documents: DataFrame, key: str = "doc_id", text: str = "text", target: int = 400, most: int = 500, overlap: int = 2) -> DataFrame:
     """(key, chunk_number, chunk_text, words, overlap_text, section): chunks in order; the overlap with the chunk before
     is kept beside the text. Null and blank texts have no chunks."""
-    parts = documents.where(F.col(text).isNotNull()).select(key, boundaries(sentences(F.col(text)), target, most).alias("_c"))
+    parts = spread(documents.where(F.col(text).isNotNull()).select(key, text)).select(key, boundaries(sentences(F.col(text)), target, most).alias("_c"))
     rows = parts.select(key, "_c", F.posexplode("_c").alias("chunk_number", "_s"))
     before = F.when(F.col("chunk_number") > 0, F.array_join(F.slice(F.element_at("_c", F.greatest(F.col("chunk_number"), F.lit(1))), -overlap, overlap), " "))
     before = F.when(F.size(F.element_at("_c", F.greatest(F.col("chunk_number"), F.lit(1)))) < overlap, F.when(F.col("chunk_number") > 0, F.array_join(F.element_at("_c", F.greatest(F.col("chunk_number"), F.lit(1))), " "))).otherwise(before)

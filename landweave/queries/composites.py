@@ -346,12 +346,12 @@ def q33(t):
     return VAL.spread(t.parcels.where("last_sale_price > 0"), ["property_type"], "last_sale_price")
 
 
-@query("q36_address_resolution", f"""WITH e AS (SELECT id, {word_grams('primary_address')} AS g FROM entities WHERE primary_address IS NOT NULL), r AS (SELECT parcel_key AS k, {word_grams('property_address')} AS h FROM parcels WHERE property_address IS NOT NULL), s AS (SELECT e.id AS l, r.k AS r, {jaccard('g', 'h')} AS s FROM e JOIN r ON list_has_any(g, h))
+@query("q36_address_resolution", f"""WITH e AS (SELECT id, {word_grams('primary_address')} AS g, regexp_extract(trim(primary_address), '^([0-9]+)', 1) AS no FROM entities WHERE primary_address IS NOT NULL), r AS (SELECT parcel_key AS k, {word_grams('property_address')} AS h, regexp_extract(trim(property_address), '^([0-9]+)', 1) AS no FROM parcels WHERE property_address IS NOT NULL), s AS (SELECT e.id AS l, r.k AS r, {jaccard('g', 'h')} AS s FROM e JOIN r ON e.no = r.no AND e.no <> '' AND list_has_any(g, h))
 SELECT l AS id, r AS parcel_key, round(s, 6) AS similarity FROM s WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY l ORDER BY s DESC, r) = 1""")
 def q36(t):
-    e = t("entities").select(D("id").cast("string").alias("k"), D("primary_address").alias("a"))
-    p = t.parcels.select(D("parcel_key").alias("k"), D("property_address").alias("a"))
-    best = best_match(similarity_join(e, p, "k", "a", 0.7))
+    e = t("entities").select(D("id").cast("string").alias("k"), D("primary_address").alias("a"), X.house_number(D("primary_address")).alias("no"))
+    p = t.parcels.select(D("parcel_key").alias("k"), D("property_address").alias("a"), X.house_number(D("property_address")).alias("no"))
+    best = best_match(similarity_join(e, p, "k", "a", 0.7, same="no"))
     return best.select(D("l").cast("long").alias("id"), D("r").alias("parcel_key"), F.round("similarity", 6).alias("similarity"))
 
 

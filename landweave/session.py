@@ -58,3 +58,11 @@ def ship(df: DataFrame) -> DataFrame:
         sc.addPyFile(str(to))
         _shipped.add(sc.applicationId)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the session has cores, for work that is heavy per row.
+
+    Large inputs have more splits than that and stay as they are; a few small files are dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
