@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landweave.session import ship
+from landweave.session import ship, spread
 
 _TAG = regex.compile(r"<[^<>]{1,200}>|&[a-z]{2,6};|&#\d+;")
 _FURNITURE = regex.compile(r"(?mi)^\s*(?:page \d+(?: of \d+)?|\*{2,}.*\*{2,}|-{3,}|_{3,}|={3,})\s*$")
@@ -227,5 +227,5 @@ def reading_levels(documents: DataFrame, samples: DataFrame, key: str = "doc_id"
             yield pd.DataFrame({key: pdf[key], "n_words": n, "english": english, "grade": pd.Series(grade, dtype="Float64").where(known), "band": pd.Series(bands, dtype="Int32").where(known)})
 
     kind = dict(documents.dtypes)[key]  # the key travels as text, since pandas has no whole numbers with nulls
-    out = documents.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, f"`{key}` string, n_words int, english boolean, grade double, band int")
+    out = spread(documents.select(F.col(key).cast("string").alias(key), text)).mapInPandas(run, f"`{key}` string, n_words int, english boolean, grade double, band int")
     return out.withColumn(key, F.col(key).cast(kind))

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from landweave.session import ship
+from landweave.session import ship, spread
 
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the published tokenizer cuts a text before merging (fixed value).
@@ -247,7 +247,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
             values = pa.array(list(chain.from_iterable(ids)), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER_PATH) -> DataFrame:
@@ -260,7 +260,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
             n = [len(enc.encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens bigint")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens bigint")
 
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = TOKENIZER_PATH) -> DataFrame:
