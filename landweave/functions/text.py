@@ -79,6 +79,14 @@ def address_text(c: Column) -> Column:
     return F.array_join(address_words(c), " ")
 
 
+def short_address(c: Column, short: list[tuple[str, str]]) -> Column:
+    """Upper case, letters, digits and # only, with whole words replaced by their short forms."""
+    out = F.regexp_replace(F.upper(c), r"[^A-Z0-9# ]", " ")
+    for word, form in short:
+        out = F.regexp_replace(out, rf"\b{word}\b", form)
+    return squeeze(out)
+
+
 def house_number(c: Column) -> Column:
     """The number an address begins with; null if there is none."""
     return F.nullif(F.regexp_extract(F.trim(c), r"^([0-9]+)", 1), F.lit(""))
