@@ -34,11 +34,14 @@ def named(records: DataFrame) -> DataFrame:
 
 
 def attachments(forms: DataFrame, edge: int = 4) -> DataFrame:
-    """(form, to): the canonical form of every form that is not its own."""
+    """(form, to): the canonical form of every form that is not its own.
+
+    Forms meet if they agree in the initial (of organisations in business and number) and in the core, its first or its
+    last letters; so a surname that a large share of a market bears is cut by initials."""
     person = F.col("kind") == "P"
     rest = F.when(person, F.substring("first", 1, 1)).otherwise(F.concat_ws("|", "first", "middle"))
     keys = F.array(
-        F.xxhash64(F.lit(0), "market", "kind", "core"),
+        F.xxhash64(F.lit(0), "market", "kind", "core", rest),
         F.xxhash64(F.lit(1), "market", "kind", F.substring("core", 1, edge), rest),
         F.xxhash64(F.lit(2), "market", "kind", F.expr(f"right(core, {edge})"), rest),
     )

@@ -9,7 +9,9 @@ cut points between bands are calibrated on predictions for samples that were lef
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,9 @@ _TABLE = regex.compile(r"(?m)^(?:[^\t\n]{0,30}\t){2,}[^\t\n]{0,30}$|https?://\S+
 _HYPHEN = regex.compile(r"(?<=[a-z])-\n(?=[a-z])")
 _LEAD = regex.compile(r"(?m)^\s*(?:[-*•#>]+|\(?\d{1,3}[.)])\s+")
 _BREAK = regex.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]*[A-ZÁÉÍÓÚÑ0-9])|\n\s*\n|(?<=[.!?:;])\s*\n")
+_END = re.compile(r"[.!?](?=\s|$)")
+_DIGIT = re.compile(r"[0-9]")
+_PASSIVE = re.compile(r"\b(?:is|are|was|were|be|been|being)\s+[a-z]+ed\b", re.I)
 _WORD = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?:['’-][A-Za-zÀ-ÖØ-öø-ÿ]+)*")
 _VOWELS = regex.compile(r"[aeiouy]+")
 
@@ -35,7 +40,6 @@ CONNECTIVES = frozenset("notwithstanding provided whereas hereby thereof thereto
 SUBORDINATE = frozenset("that which who whom whose where when because although unless whether if while since until before after".split())
 PERSONAL = frozenset("you your we our my i me us he she they".split())
 MODAL = frozenset("shall must may should will can could would might".split())
-BE = frozenset("is are was were be been being".split())
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -43,6 +47,8 @@ def sentences(text: str) -> list[list[str]]:
     if not text.isascii():  # accents of scan damage must not cut words
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     text = _LEAD.sub("\n\n", _TABLE.sub(" ", _FURNITURE.sub("\n\n", _TAG.sub(" ", _HYPHEN.sub("", text)))))
+    if (lines := text.count("\n")) > 1 and 2 * len(_END.findall(text)) < lines:  # lines end sentences here
+        text = text.replace("\n", "\n\n")
     out = [_WORD.findall(s.lower()) for s in _BREAK.split(text) if s]
     return [s for s in out if len(s) > 1] or [s for s in out if s]
 
@@ -63,29 +69,29 @@ def features(text: str, sents: list[list[str]]) -> list[float]:
     words = [w for s in sents for w in s]
     n = len(words)
     counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
+    counts.update(Counter(words))
     kinds = list(counts)
     times = np.fromiter(counts.values(), np.float64, len(kinds))
     chars_of = np.fromiter(map(len, kinds), np.float64, len(kinds))
     syll_of = np.array([max(1, len(_VOWELS.findall(w))) for w in kinds], np.float64)
     chars, syll = np.repeat(chars_of, times.astype(int)), np.repeat(syll_of, times.astype(int))
-    lengths = np.array([len(s) for s in sents], np.float64)
+    lengths = np.fromiter(map(len, sents), np.float64, len(sents))
 
     def share(group: frozenset) -> float:
         return sum(counts.get(w, 0) for w in group) / n
 
-    content = [{w for w in s if len(w) > 3 and w not in ENGLISH} for s in sents]
+    content = [{w for w in set(s) - ENGLISH if len(w) > 3} for s in sents]
     shared = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:], strict=False)] or [0.0]
-    hard = np.array([sum(len(w) >= 10 for w in s) / len(s) for s in sents])
-    passives = sum(a in BE and b.endswith("ed") for s in sents for a, b in zip(s, s[1:], strict=False)) / len(sents)
+    long_ = np.fromiter(map(len, words), np.int64, n) >= 10
+    hard = np.add.reduceat(long_, np.concatenate([[0], np.cumsum(lengths[:-1])]).astype(np.int64)) / lengths
+    passives = len(_PASSIVE.findall(text)) / len(sents)
     endings = sum(c for w, c in counts.items() if w.endswith(("tion", "ment", "ity", "ance", "ence", "ability", "ology", "ively", "ously"))) / n
     return [
         *_spread(chars, (25, 50, 75, 90)), *_spread(syll, (50, 75, 90)), *_spread(lengths, (10, 25, 50, 75, 90)),
         float((chars >= 7).mean()), float((chars >= 10).mean()), float((chars >= 13).mean()), float((chars <= 4).mean()), float((syll >= 3).mean()), float((syll >= 5).mean()),
         *_spread(hard, (10, 25, 50, 75, 90)), float((hard > 0.25).mean()), float((hard == 0).mean()), float((lengths <= 10).mean()), float((lengths > 25).mean()),
         len(kinds) / math.sqrt(n), float((times == 1).sum() / len(kinds)), share(ENGLISH), share(CONNECTIVES), share(SUBORDINATE), share(PERSONAL), share(MODAL), counts.get("shall", 0) / n, counts.get("the", 0) / n, counts.get("of", 0) / n,
-        text.count(",") / n, text.count(";") / n, (text.count("?") + text.count("!")) / len(sents), text.count("(") / n, sum(map(str.isdigit, text)) / max(1, len(text)), passives, endings,
+        text.count(",") / n, text.count(";") / n, (text.count("?") + text.count("!")) / len(sents), text.count("(") / n, len(_DIGIT.findall(text)) / max(1, len(text)), passives, endings,
         float(np.mean(shared)), float(np.max(shared)),
     ]
 
@@ -193,7 +199,7 @@ def train(samples: list[tuple[str, int]], folds: int = 5) -> tuple[Boosted, floa
             out[held] = boost(x[~held], y[~held]).grade(x[held])
     whole = np.concatenate([[True], owner[1:] != owner[:-1]])
     model = boost(x, y)
-    model.cuts = calibrate(out, y)
+    model.cuts = calibrate(out[whole], y[whole])
     right = float((1 + np.searchsorted(np.array(model.cuts), out[whole], side="right") == y[whole]).mean())
     return model, right
 
