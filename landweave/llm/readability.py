@@ -13,26 +13,27 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landweave.session import ship, spread
 
-_TAG = regex.compile(r"<[^<>]{1,200}>|&[a-z]{2,6};|&#\d+;")
-_FURNITURE = regex.compile(r"(?mi)^\s*(?:page \d+(?: of \d+)?|\*{2,}.*\*{2,}|-{3,}|_{3,}|={3,})\s*$")
-_TABLE = regex.compile(r"(?m)^(?:[^\t\n]{0,30}\t){2,}[^\t\n]{0,30}$|https?://\S+|\S{30,}")
-_HYPHEN = regex.compile(r"(?<=[a-z])-\n(?=[a-z])")
-_LEAD = regex.compile(r"(?m)^\s*(?:[-*•#>]+|\(?\d{1,3}[.)])\s+")
-_BREAK = regex.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]*[A-ZÁÉÍÓÚÑ0-9])|\n\s*\n|(?<=[.!?:;])\s*\n")
+_TAG = re.compile(r"<[^<>]{1,200}>|&[a-z]{2,6};|&#\d+;")
+_FURNITURE = re.compile(r"(?mi)^\s*(?:page \d+(?: of \d+)?|\*{2,}.*\*{2,}|-{3,}|_{3,}|={3,})\s*$")
+_TABLE = re.compile(r"(?m)^(?:[^\t\n]{0,30}\t){2,}[^\t\n]{0,30}$")
+_LONG = re.compile(r"(?<!\S)(?:\S{30,}|\S*?https?://\S+)")
+_HYPHEN = re.compile(r"(?<=[a-z])-\n(?=[a-z])")
+_LEAD = re.compile(r"(?m)^\s*(?:[-*•#>]+|\(?\d{1,3}[.)])\s+")
+_BREAK = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]*[A-ZÁÉÍÓÚÑ0-9])|\n\s*\n|(?<=[.!?:;])\s*\n")
 _END = re.compile(r"[.!?](?=\s|$)")
 _DIGIT = re.compile(r"[0-9]")
 _PASSIVE = re.compile(r"\b(?:is|are|was|were|be|been|being)\s+[a-z]+ed\b", re.I)
-_WORD = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?:['’-][A-Za-zÀ-ÖØ-öø-ÿ]+)*")
-_VOWELS = regex.compile(r"[aeiouy]+")
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?:['’-][A-Za-zÀ-ÖØ-öø-ÿ]+)*")
+_VOWELS = re.compile(r"[aeiouy]+")
 
 ENGLISH = frozenset("the of and to in a is that for it on with as be by this are or was at from not an have has will you your if which must may can shall any all they we their no been were had but there its when who more than about said his her out up do does did into such other".split())
 SPANISH = frozenset("de la el que en y los las del se un una por con para al lo como mas su sus es son esta este ha han fue no si o ser puede debe antes desde sobre entre hasta sin".split())
@@ -42,11 +43,37 @@ PERSONAL = frozenset("you your we our my i me us he she they".split())
 MODAL = frozenset("shall must may should will can could would might".split())
 
 
+_ENDINGS = ("tion", "ment", "ity", "ance", "ence", "ability", "ology", "ively", "ously")
+
+
+class _Words(dict):
+    """Length, syllables, abstract ending and whether it is a content word, of words met before (a bounded number)."""
+
+    def __missing__(self, w: str) -> tuple[int, int, bool, bool]:
+        if len(self) >= 200_000:
+            self.clear()
+        v = self[w] = (len(w), max(1, len(_VOWELS.findall(w))), w.endswith(_ENDINGS), len(w) > 3 and w not in ENGLISH)
+        return v
+
+
+_words = _Words()
+
+
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence, in lower case, without markup, page furniture and list marks."""
     if not text.isascii():  # accents of scan damage must not cut words
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    text = _LEAD.sub("\n\n", _TABLE.sub(" ", _FURNITURE.sub("\n\n", _TAG.sub(" ", _HYPHEN.sub("", text)))))
+    # each pattern runs only on texts that hold what it starts with
+    if "-\n" in text:
+        text = _HYPHEN.sub("", text)
+    if "<" in text or "&" in text:
+        text = _TAG.sub(" ", text)
+    text = _FURNITURE.sub("\n\n", text)
+    if "\t" in text:
+        text = _TABLE.sub(" ", text)
+    if "://" in text or max(map(len, text.split()), default=0) >= 30:
+        text = _LONG.sub(" ", text)
+    text = _LEAD.sub("\n\n", text)
     if (lines := text.count("\n")) > 1 and 2 * len(_END.findall(text)) < lines:  # lines end sentences here
         text = text.replace("\n", "\n\n")
     out = [_WORD.findall(s.lower()) for s in _BREAK.split(text) if s]
@@ -72,20 +99,21 @@ def features(text: str, sents: list[list[str]]) -> list[float]:
     counts.update(Counter(words))
     kinds = list(counts)
     times = np.fromiter(counts.values(), np.float64, len(kinds))
-    chars_of = np.fromiter(map(len, kinds), np.float64, len(kinds))
-    syll_of = np.array([max(1, len(_VOWELS.findall(w))) for w in kinds], np.float64)
+    lens, sylls, abstract, telling = zip(*map(_words.__getitem__, kinds), strict=True)
+    chars_of, syll_of = np.array(lens, np.float64), np.array(sylls, np.float64)
     chars, syll = np.repeat(chars_of, times.astype(int)), np.repeat(syll_of, times.astype(int))
     lengths = np.fromiter(map(len, sents), np.float64, len(sents))
 
     def share(group: frozenset) -> float:
         return sum(counts.get(w, 0) for w in group) / n
 
-    content = [{w for w in set(s) - ENGLISH if len(w) > 3} for s in sents]
+    told = set(compress(kinds, telling))
+    content = [told.intersection(s) for s in sents]
     shared = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:], strict=False)] or [0.0]
     long_ = np.fromiter(map(len, words), np.int64, n) >= 10
     hard = np.add.reduceat(long_, np.concatenate([[0], np.cumsum(lengths[:-1])]).astype(np.int64)) / lengths
     passives = len(_PASSIVE.findall(text)) / len(sents)
-    endings = sum(c for w, c in counts.items() if w.endswith(("tion", "ment", "ity", "ance", "ence", "ability", "ology", "ively", "ously"))) / n
+    endings = float(times[np.array(abstract)].sum()) / n
     return [
         *_spread(chars, (25, 50, 75, 90)), *_spread(syll, (50, 75, 90)), *_spread(lengths, (10, 25, 50, 75, 90)),
         float((chars >= 7).mean()), float((chars >= 10).mean()), float((chars >= 13).mean()), float((chars <= 4).mean()), float((syll >= 3).mean()), float((syll >= 5).mean()),
