@@ -13,7 +13,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from landweave.session import local_session
 
-    s = local_session(cores=4, shuffle_partitions=4)
+    s = local_session(cores=8, shuffle_partitions=2)
     yield s
     s.stop()
 
