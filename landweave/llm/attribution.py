@@ -33,27 +33,59 @@ def named(records: DataFrame) -> DataFrame:
     return parts.withColumn("form", F.xxhash64("market", *[F.concat_ws("", f) for f in FIELDS], F.concat_ws("|", *FIELDS)))
 
 
-def attachments(forms: DataFrame, edge: int = 4) -> DataFrame:
+def near_cores(forms: DataFrame, short: int = 11) -> DataFrame:
+    """(a, b, errors): ids of all cores of one market and kind that the channel may take for each other, each also with
+    itself. Complete for up to one error in a core of 5 or 6 letters and up to two in a longer one.
+
+    Cores of up to ``short`` letters meet if they are the same after at most one deletion each (two from 7 letters on).
+    Longer ones meet by thirds: two errors leave one third of the shorter core whole, at a place in the longer one that
+    is shifted by no more than the errors before and behind it allow."""
+    cores = forms.select("core_id", "market", "kind", "core").distinct()
+    n = "length(core)"
+    one = f"transform(sequence(1, {n}), i -> concat(left(core, i - 1), substring(core, i + 1)))"
+    two = f"flatten(transform(sequence(1, {n} - 1), i -> transform(sequence(i + 1, {n}), j -> concat(left(core, i - 1), substring(core, i + 1, j - i - 1), substring(core, j + 1)))))"
+    deletions = F.expr(f"array_distinct(CASE WHEN {n} < 4 OR {n} > {short} THEN array() WHEN {n} < 7 THEN concat(array(core), {one}) ELSE concat(array(core), {one}, {two}) END)")
+
+    def third(length: str, i: int, shift: int) -> str:
+        """Key of the i-th third of a core of that length; null where the shift leads out of the core."""
+        start = f"CAST(floor({i} * ({length}) / 3) AS INT)"
+        size = f"CAST(floor({i + 1} * ({length}) / 3) AS INT) - {start}"
+        inside = f"{start} + {shift} >= 0 AND {start} + {shift} + {size} <= {n} AND {length} >= {short - 1}"
+        return f"CASE WHEN {inside} THEN concat_ws('|', {length}, {i}, substring(core, {start} + {shift} + 1, {size})) END"
+
+    held = F.expr("array(" + ", ".join(third(n, i, 0) for i in range(3)) + ")")
+    sought = F.expr("array(" + ", ".join(third(f"({n} - {d})", i, s) for d in range(3) for i in range(3) for s in range(-2, 3) if abs(s) + abs(d - s) <= 2) + ")")
+
+    def keyed(keys, x: str) -> DataFrame:
+        k = cores.select(F.explode(keys).alias("key"), "market", "kind", F.col("core_id").alias(x), F.col("core").alias(f"{x}_core")).where("key is not null")
+        return k.select(F.xxhash64("market", "kind", "key").alias("key"), x, f"{x}_core")
+
+    met = [keyed(deletions, "a").join(keyed(deletions, "b"), "key").where("a < b"), keyed(sought, "a").join(keyed(held, "b"), "key").where("a != b")]
+    errors = F.levenshtein("a_core", "b_core", 2)
+    pairs = met[0].unionByName(met[1]).select("a", "b", errors.alias("errors"), F.length("a_core").alias("a_n"), F.length("b_core").alias("b_n")).where("errors > 0").distinct()
+    both = pairs.unionByName(pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), "errors", F.col("a_n").alias("b_n"), F.col("b_n").alias("a_n")))
+    # what the channel takes for a variant depends on the length of the canonical core, b
+    possible = both.where("errors = 1 and b_n > 4 or errors = 2 and b_n > 6").select("a", "b", "errors").distinct()
+    return possible.unionByName(cores.select(F.col("core_id").alias("a"), F.col("core_id").alias("b"), F.lit(0).alias("errors")))
+
+
+def attachments(forms: DataFrame) -> DataFrame:
     """(form, to): the canonical form of every form that is not its own.
 
-    Forms meet if they agree in the initial (of organisations in business and number) and in the core, its first or its
-    last letters; so a surname that a large share of a market bears is cut by initials."""
+    Forms meet if they agree in the initial (of organisations in business and number) and their cores are the same or
+    as near as the channel allows; so a surname that a large share of a market bears is cut by initials."""
     person = F.col("kind") == "P"
     rest = F.when(person, F.substring("first", 1, 1)).otherwise(F.concat_ws("|", "first", "middle"))
-    keys = F.array(
-        F.xxhash64(F.lit(0), "market", "kind", "core", rest),
-        F.xxhash64(F.lit(1), "market", "kind", F.substring("core", 1, edge), rest),
-        F.xxhash64(F.lit(2), "market", "kind", F.expr(f"right(core, {edge})"), rest),
-    )
-    keyed = forms.select(F.explode(F.array_distinct(keys)).alias("key"), "form", *FIELDS, "n")
-    v = keyed.select("key", F.col("form").alias("v"), *[F.col(f).alias(f"v_{f}") for f in FIELDS], F.col("n").alias("vn"))
-    c = keyed.select("key", F.col("form").alias("c"), *[F.col(f).alias(f"c_{f}") for f in FIELDS], F.col("n").alias("cn"))
+    forms = forms.withColumn("core_id", F.xxhash64("market", "kind", "core"))
+    keyed = forms.select("core_id", rest.alias("rest"), "form", *FIELDS, "n")
+    v = keyed.select(F.col("core_id").alias("a"), "rest", F.col("form").alias("v"), *[F.col(f).alias(f"v_{f}") for f in FIELDS], F.col("n").alias("vn"))
+    c = keyed.select(F.col("core_id").alias("b"), "rest", F.col("form").alias("c"), *[F.col(f).alias(f"c_{f}") for f in FIELDS], F.col("n").alias("cn"))
 
     def col(s: str):
         return F.col(s)
 
     p = col("v_kind") == "P"
-    errors = F.levenshtein("v_core", "c_core", 2)
+    errors = F.col("errors")
     typed = F.when(errors == 0, 0.0).when((errors == 1) & (F.length("c_core") > 4), ONE_ERROR).when((errors == 2) & (F.length("c_core") > 6), TWO_ERRORS)
     cut = (F.length("v_first") <= 1) & (F.length("c_first") > 1) & col("c_first").startswith(col("v_first"))
     first = F.when(col("v_first") == col("c_first"), 0.0).when(p & cut, INITIAL).when(p & (F.length("v_first") > 3) & (F.length("c_first") > 3) & F.levenshtein("v_first", "c_first", 1).between(1, 1) & (errors == 0), ONE_ERROR)
@@ -63,7 +95,7 @@ def attachments(forms: DataFrame, edge: int = 4) -> DataFrame:
     above = fuller | (col("cn") > col("vn")) | ((col("cn") == col("vn")) & (col("c") < col("v")))
     # every record of the variant would have had the same typing error, while a part left out is a habit
     score = F.log("cn") + typed * col("vn") + first + middle + extra
-    met = v.join(c, "key").where(col("v") != col("c")).where(F.when(p, F.lit(True)).otherwise((col("v_first") == col("c_first")) & (col("v_middle") == col("c_middle"))))
+    met = v.join(near_cores(forms), "a").join(c, ["b", "rest"]).where(col("v") != col("c")).where(F.when(p, F.lit(True)).otherwise((col("v_first") == col("c_first")) & (col("v_middle") == col("c_middle"))))
     scored = met.withColumn("score", score).where(above & (col("score") > OWN_NAME + F.when(errors == 0, -100.0).otherwise(F.log("vn"))))
     return scored.groupBy("v").agg(F.max_by("c", F.struct("score", "cn", "c")).alias("to")).withColumnRenamed("v", "form")
 

@@ -3,7 +3,7 @@
 import pytest
 
 from landweave.llm.addresses import alignment_cost, same_locations, same_place
-from landweave.llm.attribution import same_names
+from landweave.llm.attribution import near_cores, same_names
 from landweave.llm.linkage import expectation_maximisation, registry_links
 from landweave.llm.names import given_name, parse_name
 from landweave.llm.postal import parse
@@ -70,6 +70,42 @@ def test_same_names(spark):
     assert same_names(df.limit(0)).count() == 0
 
 
+def test_names_with_errors_in_the_middle(spark):
+    names = ["OSEMNER RICHARD", "OSENER RICHARD", "ZELACBY JOSEPH", "ZELCABY JOSEPH", "ULORTHAM JOSEPH S", "ULOTRHAM JOSEPH S", "OAKFEILDELHMAM HOLDINGS 2 LLC", "OAKFIELDELMHAM HOLDINGS 2 LLC"]
+    df = spark.createDataFrame([(f"e:{i}", "m", n) for i, n in enumerate(names)], "record string, market string, name string")
+    assert {("e:0", "e:1"), ("e:2", "e:3"), ("e:4", "e:5")} <= pairs(same_names(df))
+
+
+def test_near_cores_equal_brute_force(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(7)
+    cores = set()
+    for size in range(1, 20):
+        for _ in range(4):
+            base = "".join(rng.choices("ABCD", k=size))
+            cores.add(base)
+            for _ in range(6):
+                w = list(base)
+                for _ in range(rng.randint(1, 2)):
+                    i = rng.randrange(len(w) + 1)
+                    w[i : i + rng.randint(0, 1)] = rng.choices("ABCD", k=rng.randint(0, 1))
+                cores.add("".join(w))
+    cores = sorted(cores - {""})
+    df = spark.createDataFrame([(i, "m", "P", c) for i, c in enumerate(cores)], "core_id bigint, market string, kind string, core string")
+    want = {(i, j, d) for i, a in enumerate(cores) for j, b in enumerate(cores) if abs(len(a) - len(b)) < 3 and ((d := distance(a, b)) == 0 or d == 1 and len(b) > 4 or d == 2 and len(b) > 6)}
+    assert len(want) > 1000 and pairs(near_cores(df)) == want
+
+
 ENTITIES = "id bigint, name string, registered_agent string, primary_address string, sunbiz_document_number string, l_core string, block string"
 REGISTRY = "document_number string, name string, registered_agent string, principal_address string, mailing_address string, confidence string"
 
