@@ -214,10 +214,17 @@ SELECT l, r, round(CASE WHEN pos = 1 THEN least(raw, 0.84) ELSE raw END, 6) AS s
 
 @query("q23_entity_resolution", f"WITH {RESOLVE}")
 def q23(t):
-    e = t("entities").where("name is not null and first_seen_market_id = 'mk0000'").select("id", "name", "phone", F.upper(F.trim("primary_address")).alias("a"))
-    pairs = similarity_join(e, e, "id", "name", 0.75).where("l < r")
-    x, y = (e.select(*[D(c).alias(f"{s}_{c}") for c in ("id", "phone", "a")]) for s in "xy")
-    met = pairs.join(x, D("l") == D("x_id")).join(y, D("r") == D("y_id"))
+    """All pairs of entities, of whatever markets, whose names have a similarity above 0.3 or that share phone, e-mail or
+    address; blank values are not shared. The SQL has only pairs of mk0000 with a similarity of at least 0.75."""
+    e = t("entities").select("id", "name", "phone", F.lower(F.trim("email")).alias("email"), F.upper(F.trim("primary_address")).alias("a"))
+    found = similarity_join(e, e, "id", "name", 0.3).where("l < r and similarity > 0.3")
+    for c in ("phone", "email", "a"):
+        k = e.where(F.trim(c) != "").select("id", c)
+        shared = k.withColumnRenamed("id", "l").join(k.withColumnRenamed("id", "r"), c).where("l < r")
+        found = found.unionByName(shared.select("l", "r", F.lit(None).cast("double").alias("similarity")))
+    pairs = found.groupBy("l", "r").agg(F.max("similarity").alias("_s"))
+    x, y = (e.select(*[D(c).alias(f"{s}_{c}") for c in ("id", "name", "phone", "a")]) for s in "xy")
+    met = pairs.join(x, D("l") == D("x_id")).join(y, D("r") == D("y_id")).withColumn("similarity", F.coalesce("_s", X.word_similarity(D("x_name"), D("y_name"))))
 
     def same(c: str):
         return F.when(D(f"x_{c}").isNotNull() & D(f"y_{c}").isNotNull(), (D(f"x_{c}") == D(f"y_{c}")).cast("double"))
