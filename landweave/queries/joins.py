@@ -94,8 +94,7 @@ def j10(t):
 SELECT c.owner_name, p.parcel_key FROM c JOIN ok p ON p.latitude BETWEEN c.la - 0.002 AND c.la + 0.002 AND {HAVERSINE.format(a='c.la', b='c.lo', c='p.latitude', e='p.longitude')} <= 200""")
 def j11(t):
     ok = t.parcels.where(usable(D("latitude"), D("longitude")))
-    named = ok.where((D("owner_name") != "STATE TRANSPORTATION LAND RESERVE"))
-    c = named.groupBy("owner_name").agg(R.n("_n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon")).where("_n >= 3").select(D("owner_name").alias("id"), "lat", "lon")
+    c = ok.where("owner_name is not null").groupBy("owner_name").agg(R.n("_n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon")).where("_n >= 3").select(D("owner_name").alias("id"), "lat", "lon")
     p = ok.select(D("parcel_key").alias("id"), D("latitude").alias("lat"), D("longitude").alias("lon"))
     return near_join(c, p, 200.0).select(D("a").alias("owner_name"), D("b").alias("parcel_key"))
 

@@ -23,3 +23,12 @@ def test_resolution_keeps_the_pairs_of_its_sql(spark, sf_dir):
     got = {(r.l, r.r): r.score for r in QUERIES[name](spark, sf_dir).collect()}
     want = database(sf_dir).execute(ORACLES[name]).fetchall()
     assert want and len(got) > len(want) and all(abs(got[x, y] - float(score)) < 2e-6 for x, y, score in want)
+
+
+def test_centroid_of_every_owner(spark, tmp_path):
+    state = "STATE TRANSPORTATION LAND RESERVE"
+    rows = [(i, 1, f"p{i}", "2024-01-01", o, 29.0, -82.0) for i, o in enumerate([state, state, state, "A", None, None, None])]
+    records = (rows, "id bigint, snapshot_id bigint, parcel_id string, loaded_at string, owner_name string, latitude double, longitude double")
+    snapshots = ([(1, "m", "2024-01-01", "completed")], "id bigint, market_id string, snapshot_date string, status string")
+    got = QUERIES["j11_near_centroid"](spark, tables(spark, tmp_path, bulk_property_records=records, bulk_data_snapshots=snapshots)).collect()
+    assert {(r.owner_name, r.parcel_key) for r in got} == {(state, f"P{i}") for i in range(7)}
