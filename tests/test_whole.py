@@ -32,3 +32,8 @@ def test_centroid_of_every_owner(spark, tmp_path):
     snapshots = ([(1, "m", "2024-01-01", "completed")], "id bigint, market_id string, snapshot_date string, status string")
     got = QUERIES["j11_near_centroid"](spark, tables(spark, tmp_path, bulk_property_records=records, bulk_data_snapshots=snapshots)).collect()
     assert {(r.owner_name, r.parcel_key) for r in got} == {(state, f"P{i}") for i in range(7)}
+
+
+def test_feed_of_every_event(spark, tmp_path):
+    folder = tables(spark, tmp_path, events=([(i, f"kind {i}") for i in range(20)], "event_id bigint, event_type string"))
+    assert {(r.title, r.summary) for r in QUERIES["s10_feed"](spark, folder).collect()} == {(str(i), f"kind {i}") for i in range(20)}
