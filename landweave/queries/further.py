@@ -93,9 +93,9 @@ def q21(t):
 x AS (SELECT c.id, p.parcel_key, {jaccard('g', 'h')} AS v FROM c JOIN p ON c.s = p.s AND list_has_any(g, h)) SELECT id, parcel_key, round(v, 6) AS similarity FROM x WHERE v >= 0.75 QUALIFY row_number() OVER (PARTITION BY id ORDER BY v DESC, parcel_key) = 1""")
 def q34(t):
     def side(df, key: str, address: str):
-        return df.select(D(key).cast("string").alias("k"), D(address).alias("a"), F.concat_ws(":", "market_id", F.coalesce(X.house_number(D(address)), F.lit("-"))).alias("s")).where(~D("s").endswith("-"))
+        return df.select(D(key).cast("string").alias("k"), D(address).alias("a"), "market_id")
 
-    best = best_match(similarity_join(side(t("crime_reports"), "id", "incident_address"), side(t.parcels, "parcel_key", "property_address"), "k", "a", 0.75, same="s"))
+    best = best_match(similarity_join(side(t("crime_reports"), "id", "incident_address"), side(t.parcels, "parcel_key", "property_address"), "k", "a", 0.75, same="market_id"))
     return best.select(D("l").cast("long").alias("id"), D("r").alias("parcel_key"), F.round("similarity", 6).alias("similarity"))
 
 

@@ -37,3 +37,13 @@ def test_centroid_of_every_owner(spark, tmp_path):
 def test_feed_of_every_event(spark, tmp_path):
     folder = tables(spark, tmp_path, events=([(i, f"kind {i}") for i in range(20)], "event_id bigint, event_type string"))
     assert {(r.title, r.summary) for r in QUERIES["s10_feed"](spark, folder).collect()} == {(str(i), f"kind {i}") for i in range(20)}
+
+
+def test_addresses_that_do_not_begin_with_the_number(spark, tmp_path):
+    records = ([(1, 1, "p1", "2024-01-01", "7333 24th Pkwy, Fort Presorner Springs, FL 20004", "m"), (2, 1, "p2", "2024-01-01", "8 Oak St, Lake Foo 20001", "m")], "id bigint, snapshot_id bigint, parcel_id string, loaded_at string, property_address string, market_id string")
+    snapshots = ([(1, "m", "2024-01-01", "completed")], "id bigint, market_id string, snapshot_date string, status string")
+    entities = ([(1, "Fort Presorner Springs, FL 20004 - 7333 24th Pkwy"), (2, None)], "id bigint, primary_address string")
+    reports = ([(1, "No. 7333 24th Pkwy, Fort Presorner Springs, FL 20004", "m"), (2, "No. 7333 24th Pkwy, Fort Presorner Springs, FL 20004", "n")], "id bigint, incident_address string, market_id string")
+    folder = tables(spark, tmp_path, bulk_property_records=records, bulk_data_snapshots=snapshots, entities=entities, crime_reports=reports)
+    for name in ("q36_address_resolution", "q34_place_of_reports"):
+        assert [(r.id, r.parcel_key) for r in QUERIES[name](spark, folder).collect()] == [(1, "P1")], name
