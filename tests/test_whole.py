@@ -47,3 +47,19 @@ def test_addresses_that_do_not_begin_with_the_number(spark, tmp_path):
     folder = tables(spark, tmp_path, bulk_property_records=records, bulk_data_snapshots=snapshots, entities=entities, crime_reports=reports)
     for name in ("q36_address_resolution", "q34_place_of_reports"):
         assert [(r.id, r.parcel_key) for r in QUERIES[name](spark, folder).collect()] == [(1, "P1")], name
+
+
+def test_registry_match_equals_brute_force(spark, sf_dir, tmp_path):
+    from difflib import SequenceMatcher
+
+    entities = [(1, "RUDAVLOK-ASHOTMAN LAND COMPANY CORP"), (2, "The Stanithamzelunsher Prop L L C"), (3, None), (4, "")]
+    registry = [(1, "RUDAVLOCK-ASSHOTMAN LAND CO. INCORPORATED", "A"), (2, "STANITHAM ZELUNSHER PROPERTIES LLC", "active"), (3, None, "A"), (4, "", None)]
+    folder = tables(spark, tmp_path, entities=(entities, "id bigint, name string"), bulk_llc_records=(registry, "id bigint, name string, status string"))
+    assert {(r.l, r.r) for r in QUERIES["q37_registry_match"](spark, folder).collect()} == {(1, 1), (2, 2), (4, 4)}
+    db, want = database(sf_dir), {}
+    registry = db.execute("SELECT id, upper(name), coalesce(upper(status) IN ('A', 'ACTIVE'), false) FROM bulk_llc_records WHERE name IS NOT NULL").fetchall()
+    for i, name in db.execute("SELECT id, upper(name) FROM entities WHERE name IS NOT NULL").fetchall():
+        found = [(-min(round(SequenceMatcher(None, name, n).ratio() + 0.1 * active, 6), 1.0), k) for k, n, active in registry]
+        if found and min(found)[0] <= -0.8:
+            want[i] = min(found)[1]
+    assert want and {r.l: r.r for r in QUERIES["q37_registry_match"](spark, sf_dir).collect()} == want
