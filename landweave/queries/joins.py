@@ -158,7 +158,7 @@ def j16(t):
 
 @query("j17_text_contains_name", r"WITH n AS (SELECT DISTINCT regexp_replace(s_name, '[^\p{L}\p{N}]+', ' ', 'g') AS name FROM supplier UNION SELECT DISTINCT 'the school board' UNION SELECT 'planning commission') SELECT d.doc_id, n.name FROM documents d JOIN n ON contains(' ' || regexp_replace(upper(d.text), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', ' ' || upper(n.name) || ' ') WHERE length(n.name) >= 10")
 def j17(t):
-    names = t("supplier").select(F.regexp_replace("s_name", r"[^\p{L}\p{N}]+", " ").alias("name")).union(t.spark.createDataFrame([("the school board",), ("planning commission",)], "name string")).distinct()
+    names = t("entities").where("name is not null").select("name").distinct()
     return text_contains_name(t("documents"), names.withColumn("key", D("name")), "doc_id", "text", "key", "name").select("doc_id", D("key").alias("name"))
 
 

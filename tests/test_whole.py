@@ -63,3 +63,8 @@ def test_registry_match_equals_brute_force(spark, sf_dir, tmp_path):
         if found and min(found)[0] <= -0.8:
             want[i] = min(found)[1]
     assert want and {r.l: r.r for r in QUERIES["q37_registry_match"](spark, sf_dir).collect()} == want
+
+
+def test_entity_names_in_texts(spark, tmp_path):
+    folder = tables(spark, tmp_path, documents=([(1, "Granted to OAKFIELD  Holdings, LLC."), (2, "nobody"), (3, None)], "doc_id bigint, text string"), entities=([(1, "Oakfield Holdings LLC"), (2, None)], "id bigint, name string"), supplier=([("Supplier#000000001",)], "s_name string"))
+    assert [(r.doc_id, r.name) for r in QUERIES["j17_text_contains_name"](spark, folder).collect()] == [(1, "Oakfield Holdings LLC")]
