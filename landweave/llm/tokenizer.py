@@ -2,16 +2,24 @@
 
 A token sequence is the BPE encoding of its text exactly when every token encodes to itself and so does every pair of
 neighbours. The encoding of a prefix is therefore the encoding of a shorter prefix plus one token, which is unique and
-can be found from the left. Text still to come can only change tokens that start within the last ``lookahead`` bytes,
-the longest token less one, which follows from the merge list; every other continuation passes through the encoding of
-one of the prefixes ending there. As soon as the encodings of all those prefixes agree on their first tokens, these are
-stable and are emitted, so the memory needed doesn't depend on the length of the text.
+can be found from the left.
+
+How much of it text still to come can change follows from the merge list (``Merges.lookahead``). Let the merges run in
+their order on a text and on the same text continued. Both agree up to a boundary, at first the end of the shorter one.
+The boundary moves left only when a merge (u, v) takes the last agreed token u together with a v behind the boundary,
+which one of the two texts has and the other not; it then moves by the length of u, and behind it stands u or uv, which
+can only grow to the right. Moves come in the order of the merges, so the longest chain of moves is a longest path over
+the merge list. Tokens that end before it are stable and are emitted; memory doesn't depend on the length of the text.
+
+Every text goes through the transducer, in blocks, and so does every run that the published pattern cuts from it. Ids of
+finished runs are remembered, as the same words come again and again.
 """
 
 from __future__ import annotations
 
 import base64
 import codecs
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -33,37 +41,37 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Merges:
-    """The merge list: encodes short byte strings whole and long ones as a stream."""
+    """The merge list: which tokens fit as neighbours, and how far a continuation can reach back."""
 
-    def __init__(self, ranks: dict[bytes, int], whole: int = 48, kept: int = 400_000):
-        self.ranks, self.whole, self.kept = ranks, whole, kept
+    def __init__(self, ranks: dict[bytes, int], kept: int = 400_000, lookahead: int | None = None):
+        self.ranks, self.kept = ranks, kept
         self.longest = max(map(len, ranks))
-        #: No token that starts further back than this can reach beyond the text read so far.
-        self.lookahead = self.longest - 1
+        #: Tokens that end so many bytes before the end of the text read so far can't change any more.
+        self.lookahead = self.sufficient_lookahead() if lookahead is None else lookahead
         self._fits: dict[tuple[bytes, bytes], bool] = {}
-        self._starts: set[bytes] | None = None
-
-    def merge(self, word: bytes) -> list[bytes]:
-        """The tokens of a short string by the definition: the pair of least rank first, from the left."""
-        if word in self.ranks:
-            return [word]
-        ranks, parts = self.ranks, [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
 
-    def _merge_strictly(self, word: bytes) -> list[bytes]:
+    def sufficient_lookahead(self) -> int:
+        """The longest way that merges, in their order, can carry a difference to the left.
+
+        ``reach[t]``: the longest way after which t may stand right behind the boundary. The merge that makes a token is
+        the last one of its own encoding; other ways to cut it never meet, as its bytes would have been merged before."""
+        reach = {t: 0 for t in self.ranks if len(t) == 1}
+        for token in sorted((t for t in self.ranks if len(t) > 1), key=self.ranks.__getitem__):
+            parts = self._merge_strictly(token, self.ranks[token])
+            if len(parts) != 2:  # never made by merges
+                continue
+            u, v = parts
+            moved = reach.get(v, 0) + len(u)
+            reach[token] = max(reach.get(u, 0), moved)
+            reach[u] = max(reach.get(u, 0), moved)
+        return max(reach.values(), default=0)
+
+    def _merge_strictly(self, word: bytes, below: int = 1 << 60) -> list[bytes]:
+        """The tokens by the definition, least rank first, from the left; only merges of a rank under ``below``."""
         ranks, parts = self.ranks, [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
-            best, at = min(((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)), default=(1 << 60, -1))
-            if best == 1 << 60:
+            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if best >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
@@ -77,34 +85,28 @@ class Merges:
             known = self._fits[left, right] = self._merge_strictly(left + right) == ([left, right] if left else [right])
         return known
 
-    def reaches(self, tail: bytes) -> bool:
-        """Whether a longer token starts with ``tail``."""
-        if self._starts is None:
-            self._starts = {t[:k] for t in self.ranks for k in range(1, len(t))}
-        return tail in self._starts
-
 
 class RunEncoder:
-    """The transducer proper, over the bytes of one uncut run."""
+    """The transducer proper, over the bytes of one uncut run. ``emitted`` counts its tokens."""
 
     def __init__(self, merges: Merges):
         self.m, self.text, self.last = merges, bytearray(), [b""]
         self.before = b""  # the last token emitted
+        self.emitted = 0
 
     def feed(self, data: bytes) -> Iterator[int]:
         m, text, last = self.m, self.text, self.last
+        ranks, fits, full = m.ranks, m.fits, 2 * m.lookahead + m.longest
         for b in data:
             text.append(b)
             n = len(text)
             for k in range(min(m.longest, n), 0, -1):
                 token = bytes(text[n - k :])
-                if token in m.ranks and last[n - k] is not None and m.fits(last[n - k] if n > k else self.before, token) and m.fits(b"", token):
+                if token in ranks and fits(last[n - k] if n > k else self.before, token) and fits(b"", token):
                     last.append(token)
                     break
-            else:
-                last.append(None)
-            if n >= 4 * m.longest:
-                yield from self._stable()
+            if n >= full:
+                yield from self._drop(self._stable())
 
     def _chain(self, end: int) -> list[bytes]:
         tokens = []
@@ -116,6 +118,7 @@ class RunEncoder:
     def _drop(self, tokens: list[bytes]) -> Iterator[int]:
         for t in tokens:
             yield self.m.ranks[t]
+        self.emitted += len(tokens)
         if tokens:
             n = sum(map(len, tokens))
             self.before = tokens[-1]
@@ -123,17 +126,14 @@ class RunEncoder:
             del self.last[:n]
             self.last[0] = b""
 
-    def _stable(self) -> Iterator[int]:
-        n = len(self.text)
-        alive = [p for p in range(max(0, n - self.m.lookahead), n + 1) if self.last[p] is not None and (p == n or self.m.reaches(bytes(self.text[p:])))]
-        common = self._chain(alive[0])
-        for p in alive[1:]:
-            other = self._chain(p)
-            k = 0
-            while k < min(len(common), len(other)) and common[k] == other[k]:
-                k += 1
-            common = common[:k]
-        yield from self._drop(common)
+    def _stable(self) -> list[bytes]:
+        """The tokens that end at least the lookahead before the end of the text."""
+        tokens, end, least = self._chain(len(self.text)), 0, len(self.text) - self.m.lookahead
+        for i, t in enumerate(tokens):
+            end += len(t)
+            if end > least:
+                return tokens[:i]
+        return tokens
 
     def finish(self) -> Iterator[int]:
         yield from self._drop(self._chain(len(self.text)))
@@ -141,33 +141,30 @@ class RunEncoder:
 
 
 class Encoder(dict):
-    """Texts to ids; as a dict it keeps the ids of pieces met before, up to ``kept`` pieces."""
+    """Texts to ids; as a dict it remembers the ids of runs met before, up to ``kept`` runs of up to 256 characters."""
 
-    def __init__(self, ranks: dict[bytes, int], kept: int = 400_000):
+    def __init__(self, merges: Merges, kept: int = 400_000):
         super().__init__()
-        self.m, self.most = Merges(ranks), kept
+        self.m, self.most = merges, kept
         self.cut = regex.compile(PATTERN).findall
-        self.find = regex.compile(PATTERN).finditer
         self.runs = [regex.compile(r) for r in _RUNS]
+        self.emitted = 0  # tokens made by the transducer, without those remembered
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        if len(data) <= self.m.whole:
-            ids = tuple(self.m.ranks[t] for t in self.m.merge(data))
-        else:
-            run = RunEncoder(self.m)
-            ids = (*run.feed(data), *run.finish())
-        if len(data) <= 4 * self.m.whole:
+        run = RunEncoder(self.m)
+        ids = (*run.feed(piece.encode()), *run.finish())
+        self.emitted += run.emitted
+        if self.most and len(piece) <= 256:
             if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
 
-    def encode(self, text: str, block: int = 1 << 20) -> list[int]:
-        """The ids of a whole text."""
-        if len(text) <= block:
-            return list(chain.from_iterable(map(self.__getitem__, self.cut(text))))
-        return list(self.stream(text[i : i + block] for i in range(0, len(text), block)))
+    def encode(self, text: str, block: int = 1 << 16) -> array:
+        """The ids of a text, as a compact array."""
+        out = array("i")
+        out.extend(self.stream(text[i : i + block] for i in range(0, len(text), block)))
+        return out
 
     def stream(self, blocks: Iterable[str], longest_piece: int = 4096) -> Iterator[int]:
         """The ids of a text that comes in blocks. Memory is bounded by a block and ``longest_piece``."""
@@ -184,18 +181,19 @@ class Encoder(dict):
                     continue
                 yield from run.finish()
                 kind = -1
-            final = len(text) if ended else len(text) - 3
-            for piece in self.find(text, at):
-                if piece.end() > final:
-                    if piece.end() == len(text) and len(piece[0]) > longest_piece and not ended:
-                        kind = next(i for i, r in enumerate(self.runs) if r.fullmatch(piece[0], 1))
-                        keep = 1 if kind == 3 else 0
-                        at = piece.end() - keep
-                        yield from run.feed(text[piece.start() : at].encode())
-                    break
-                yield from self[piece[0]]
-                at = piece.end()
-            text = text[at:]
+            pieces = self.cut(text, at)  # they cover the text, so the end of each follows from their lengths
+            end, last = len(text), pieces[-1] if pieces else ""
+            if not ended:  # what comes may belong to the last pieces
+                while pieces and end > len(text) - 3:
+                    end -= len(pieces.pop())
+            yield from chain.from_iterable(map(self.__getitem__, pieces))
+            if not ended and len(last) > longest_piece:
+                kind = next(i for i, r in enumerate(self.runs) if r.fullmatch(last, 1))
+                keep = len(text) - (kind == 3)
+                yield from run.feed(text[end:keep].encode())
+                end = keep
+            text = text[end:]
+        self.emitted += run.emitted
 
 
 class Decoder:
@@ -214,21 +212,26 @@ class Decoder:
         return rest
 
 
-_encoders: dict[int, Encoder] = {}  # of the worker process, by broadcast
+_encoders: dict[int, Encoder] = {}  # of the worker process, by content of the tokenizer's file
+_lookaheads: dict[int, int] = {}  # of the driver, likewise
 
 
 def _shared_ranks(df: DataFrame, path: str):
-    """The tokenizer's file, read once on the driver and broadcast (under a megabyte, whatever the data)."""
+    """The tokenizer's file and its lookahead, computed once on the driver and broadcast (under a megabyte)."""
     ship(df)
     with open(path, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        data = f.read()
+    if hash(data) not in _lookaheads:
+        _lookaheads[hash(data)] = Merges(load_ranks(data)).lookahead
+    return df.sparkSession.sparkContext.broadcast((data, _lookaheads[hash(data)]))
 
 
 def _encoder(shared) -> Encoder:
-    if shared.value.__hash__() not in _encoders:
+    data, lookahead = shared.value
+    if hash(data) not in _encoders:
         _encoders.clear()
-        _encoders[shared.value.__hash__()] = Encoder(load_ranks(shared.value))
-    return _encoders[shared.value.__hash__()]
+        _encoders[hash(data)] = Encoder(Merges(load_ranks(data), lookahead=lookahead))
+    return _encoders[hash(data)]
 
 
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER_PATH) -> DataFrame:
@@ -240,11 +243,11 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
     def run(batches):
         enc = _encoder(shared)
         for batch in batches:
-            ids = [enc.encode(t) if t else [] for t in batch.column(1).to_pylist()]
-            ends = [0]
-            for x in ids:
-                ends.append(ends[-1] + len(x))
-            values = pa.array(list(chain.from_iterable(ids)), pa.int32())
+            ids, ends = array("i"), [0]
+            for t in batch.column(1):
+                ids.extend(enc.encode(t.as_py() or ""))
+                ends.append(len(ids))
+            values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[key, "ids"])
 
     return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, ids array<int>")
@@ -257,7 +260,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
     def run(batches):
         enc = _encoder(shared)
         for batch in batches:
-            n = [len(enc.encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
+            n = [len(enc.encode(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
 
     return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens bigint")
@@ -268,7 +271,7 @@ def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str =
     shared = _shared_ranks(df, path)
 
     def run(batches):
-        dec = Decoder(load_ranks(shared.value))
+        dec = Decoder(load_ranks(shared.value[0]))
         for batch in batches:
             texts = [dec.feed(x or ()) + dec.finish() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
