@@ -46,6 +46,10 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int], kept: int = 400_000, lookahead: int | None = None):
         self.ranks, self.kept = ranks, kept
         self.longest = max(map(len, ranks))
+        #: The longest token that ends in each byte.
+        self.longest_to = [0] * 256
+        for t in ranks:
+            self.longest_to[t[-1]] = max(self.longest_to[t[-1]], len(t))
         #: Tokens that end so many bytes before the end of the text read so far can't change any more.
         self.lookahead = self.sufficient_lookahead() if lookahead is None else lookahead
         self._fits: dict[tuple[bytes, bytes], bool] = {}
@@ -100,7 +104,7 @@ class RunEncoder:
         for b in data:
             text.append(b)
             n = len(text)
-            for k in range(min(m.longest, n), 0, -1):
+            for k in range(min(m.longest_to[b], n), 0, -1):
                 token = bytes(text[n - k :])
                 if token in ranks and fits(last[n - k] if n > k else self.before, token) and fits(b"", token):
                     last.append(token)
