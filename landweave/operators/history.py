@@ -1,47 +1,102 @@
 """Full history of changing attributes by checkpoint-delta storage.
 
-A change log keeps, of each subject's sequence of observations, a full version at every ``every``-th observation (a
-checkpoint) and in between only patches with the attributes that changed. Versions are rebuilt by folding the patches
-forward from the nearest checkpoint. An observation whose attributes are all null means that the subject is not there.
+A change log keeps one row per change of a subject: a patch with the attributes that changed, and at every ``every``-th
+change a full version, a checkpoint. ``HistoryLog`` stores it as Parquet and is appended to as new observations come:
+the state they change is read back from each subject's last checkpoint and the patches behind it, so a log that grew by
+appending equals one built at once. The version of a date and the whole history are rebuilt by folding patches forward
+from the nearest checkpoint. An observation whose attributes are all null means that the subject is not there.
 """
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landweave.operators.rolls import deliveries, same_text, valid_rows
+from landweave.session import shared_folder
 
 OPEN_END = "9999-12-31"
 
 
-def change_log(observations: DataFrame, attributes: list[str], every: int = 16) -> DataFrame:
+def change_log(observations: DataFrame, attributes: list[str], every: int = 16, before: DataFrame | None = None) -> DataFrame:
     """The log of observations (subject, seq, at, *attributes), of which each (subject, seq) occurs once.
 
-    Columns: subject, seq, at, segment, is_checkpoint, and per attribute ``patch_<a>``: null where the attribute did not
-    change, else a struct that holds the value. Observations that change nothing are not stored, checkpoints are."""
+    Columns: subject, seq, at, change (counted from 1 per subject), segment, is_checkpoint, and per attribute
+    ``patch_<a>``: null where the attribute did not change, else a struct that holds the value. Observations that change
+    nothing are not stored. ``before`` (subject, change, state) is where the subjects of a longer log stand."""
     w = W.partitionBy("subject").orderBy("seq")
-    numbered = observations.select("subject", "seq", "at", *attributes, F.row_number().over(w).alias("_n"), *[F.lag(F.struct(a)).over(w).alias(f"_before_{a}") for a in attributes])
-    is_checkpoint = (F.col("_n") - 1) % every == 0
-    patched = numbered.select(
-        "subject", "seq", "at", F.floor((F.col("_n") - 1) / every).alias("segment"), is_checkpoint.alias("is_checkpoint"),
-        *[F.when(is_checkpoint | F.col(f"_before_{a}").isNull() | ~F.col(f"_before_{a}.{a}").eqNullSafe(F.col(a)), F.struct(F.col(a).alias("value"))).alias(f"patch_{a}") for a in attributes],
+    state = F.struct(*attributes)
+    rows = observations.select("subject", "seq", "at", state.alias("state"))
+    if before is None:
+        first, number = F.lit(None), F.lit(0)
+    else:
+        rows = rows.join(before.select("subject", F.col("change").alias("_number"), F.col("state").alias("_first")), "subject", "left")
+        first, number = F.col("_first"), F.coalesce("_number", F.lit(0))
+    seen = rows.withColumn("_before", F.when(F.row_number().over(w) == 1, first).otherwise(F.lag("state").over(w)))
+    turns = seen.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("state"))).withColumn("change", number + F.row_number().over(w))
+    is_checkpoint = (F.col("change") - 1) % every == 0
+    return turns.select(
+        "subject", "seq", "at", F.col("change").cast("int").alias("change"), F.floor((F.col("change") - 1) / every).alias("segment"), is_checkpoint.alias("is_checkpoint"),
+        *[F.when(is_checkpoint | F.col("_before").isNull() | ~F.col(f"_before.{a}").eqNullSafe(F.col(f"state.{a}")), F.struct(F.col(f"state.{a}").alias("value"))).alias(f"patch_{a}") for a in attributes],
     )
-    return patched.where(reduce(or_, [F.col(f"patch_{a}").isNotNull() for a in attributes], F.col("is_checkpoint")))
+
+
+def _there(state: str, attributes: list[str]) -> Column:
+    return reduce(or_, [F.col(f"{state}.{a}").isNotNull() for a in attributes])
 
 
 def fold_history(log: DataFrame, attributes: list[str]) -> DataFrame:
     """Versions (subject, valid_from, valid_to, *attributes) from a log; valid_to is exclusive, null when open."""
     segment = W.partitionBy("subject", "segment").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("subject").orderBy("seq")
-    states = log.select("subject", "seq", "at", *[F.last(f"patch_{a}", ignorenulls=True).over(segment).alias(a) for a in attributes]).select("subject", "seq", "at", F.struct(*[F.col(f"{a}.value").alias(a) for a in attributes]).alias("state"))
-    turns = states.withColumn("_before", F.lag("state").over(whole)).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("state")))
-    there = reduce(or_, [F.col(f"state.{a}").isNotNull() for a in attributes])
-    return turns.withColumn("valid_to", F.lead("at").over(whole)).where(there).select("subject", F.col("at").alias("valid_from"), "valid_to", "state.*")
+    # one exchange by subject serves the segments too
+    folded = log.repartition("subject").select("subject", "seq", "at", *[F.last(f"patch_{a}", ignorenulls=True).over(segment).alias(a) for a in attributes])
+    states = folded.select("subject", "at", F.lead("at").over(W.partitionBy("subject").orderBy("seq")).alias("valid_to"), F.struct(*[F.col(f"{a}.value").alias(a) for a in attributes]).alias("state"))
+    return states.where(_there("state", attributes)).select("subject", F.col("at").alias("valid_from"), "valid_to", "state.*")
+
+
+def fold_state(log: DataFrame, attributes: list[str]) -> DataFrame:
+    """(subject, seq, at, change, state) after the last row of each subject: its latest checkpoint and the patches
+    behind it, folded. Patches of one segment are combined before the shuffle."""
+    last = [F.max_by(f"patch_{a}", F.when(F.col(f"patch_{a}").isNotNull(), F.col("seq"))).alias(f"_{a}") for a in attributes]
+    per_segment = log.groupBy("subject", "segment").agg(F.max(F.struct("seq", "at", "change")).alias("_end"), *last)
+    best = per_segment.groupBy("subject").agg(F.max_by(F.struct("_end", *[f"_{a}" for a in attributes]), "segment").alias("_s"))
+    return best.select("subject", "_s._end.*", F.struct(*[F.col(f"_s._{a}.value").alias(a) for a in attributes]).alias("state"))
+
+
+class HistoryLog:
+    """A change log stored as Parquet in ``folder``, which must be shared by the cluster. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, folder: str, attributes: list[str], every: int = 16):
+        self.spark, self.folder, self.attributes, self.every = spark, folder.rstrip("/"), attributes, every
+        self.parts = 0
+
+    def append(self, observations: DataFrame) -> HistoryLog:
+        """Adds observations that come after all stored ones of their subjects (greater seq)."""
+        before = None
+        if self.parts:
+            now = fold_state(self.rows(), self.attributes)
+            before = now.join(observations.select("subject").distinct(), "subject", "left_semi")
+        # the new part is written aside, so the log is not read and written at once
+        change_log(observations, self.attributes, self.every, before).write.parquet(f"{self.folder}/part={self.parts:06d}")
+        self.parts += 1
+        return self
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.folder}/part={i:06d}" for i in range(self.parts)])
+
+    def history(self) -> DataFrame:
+        """All versions (subject, valid_from, valid_to, *attributes)."""
+        return fold_history(self.rows(), self.attributes)
+
+    def as_of(self, day: datetime.date) -> DataFrame:
+        """(subject, *attributes) as they were on a date, from each subject's nearest checkpoint before it."""
+        return fold_state(self.rows().where(F.col("at") <= F.lit(day)), self.attributes).where(_there("state", self.attributes)).select("subject", "state.*")
 
 
 def roll_observations(records: DataFrame, snapshots: DataFrame, field: str) -> DataFrame:
@@ -83,8 +138,9 @@ def period_observations(periods: DataFrame, subject: list[str], start: str, end:
 
 
 def versions(observations: DataFrame, every: int = 16) -> DataFrame:
-    """History of the attribute ``value`` through a change log."""
-    return fold_history(change_log(observations, ["value"], every), ["value"])
+    """History of the attribute ``value`` through a log stored in the shared folder, beside Spark's own checkpoints."""
+    spark = observations.sparkSession
+    return HistoryLog(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}", ["value"], every).append(observations).history()
 
 
 def found_form(history: DataFrame, key) -> DataFrame:

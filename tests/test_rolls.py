@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from landweave.operators.history import change_log, fold_history, found_form, period_observations, roll_observations, status_observations, versions
+from landweave.operators.history import HistoryLog, change_log, fold_history, found_form, period_observations, roll_observations, status_observations, versions
 from landweave.operators.rolls import ROLL_FIELDS, deliveries
 from landweave.operators.snapshot_diff import roll_changes
 
@@ -122,3 +122,25 @@ def test_log_of_two_attributes(spark):
         got = [(r.valid_from.day, r.valid_to and r.valid_to.day, r.x, r.y) for r in fold_history(log, ["x", "y"]).orderBy("valid_from").collect()]
         assert got == [(1, 3, "a", 1), (3, 4, "a", 2), (4, 5, "b", 2), (6, 7, "b", 2), (7, None, "b", None)]
     assert change_log(df, ["x", "y"], 100).count() == 6
+
+
+def test_appending_equals_rebuilding(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k, i, dt.date(2024, 1, 1) + dt.timedelta(days=i), rng.choice(["a", "b", None]), rng.choice([1, 2, None])) for k in range(12) for i in range(20) if rng.random() < 0.8]
+    schema = "subject int, seq bigint, at date, x string, y int"
+    df = spark.createDataFrame(rows, schema)
+    grown = HistoryLog(spark, str(tmp_path / "grown"), ["x", "y"], every=3)
+    for low, high in ((0, 5), (5, 6), (6, 14), (14, 20)):
+        grown.append(df.where(f"seq >= {low} and seq < {high}"))
+    built = HistoryLog(spark, str(tmp_path / "built"), ["x", "y"], every=3).append(df)
+    key = lambda r: (r.subject, r.seq)
+    assert sorted(grown.rows().drop("part").collect(), key=key) == sorted(built.rows().drop("part").collect(), key=key)
+    assert grown.rows().where("is_checkpoint").count() > 12
+    assert sorted(grown.history().collect(), key=str) == sorted(fold_history(change_log(df, ["x", "y"], 100), ["x", "y"]).collect(), key=str)
+    for day in (-1, 0, 4, 5, 9, 19, 40):
+        want = {}
+        for k, i, _, x, y in rows:
+            if i <= day:
+                want[k] = (x, y)
+        got = {r.subject: (r.x, r.y) for r in grown.as_of(dt.date(2024, 1, 1) + dt.timedelta(days=day)).collect()}
+        assert got == {k: v for k, v in want.items() if v != (None, None)}
