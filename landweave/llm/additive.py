@@ -1,10 +1,16 @@
 """The k most similar vectors of every vector, by additive quantisation and exact reranking.
 
-A vector is approximated by a sum of full-dimensional codewords, one of each codebook: a coarse one, whose codeword also
-names the list the vector is kept in, and ``books`` residual ones. The codebooks are trained on a bounded sample by
-k-means on residuals and then refitted together by least squares; codes are found by beam search. With the vector go its
-codes and the norm of the approximation. A query visits its ``probes`` nearest lists, scores their members by tables of
-its inner products with all codewords, and the best ``rerank`` of a list are compared exactly, in double precision.
+A vector is approximated by a sum of full-dimensional codewords, one of each codebook: two coarse ones, which together
+name the list the vector is kept in, and ``books`` residual ones. The codebooks are trained on a bounded sample by
+k-means on residuals, and the residual ones then refitted together by least squares; codes are found by beam search.
+With the vector go its codes and the norm of the approximation. In a list, a query scores the members by tables of its
+inner products with all codewords, and the best ``rerank`` are compared exactly, in double precision.
+
+The second coarse codebook is shared by all words of the first, so the number of lists can grow with the square root of
+the number of vectors while the sample stays bounded.
+
+A vector is first searched in its own list, where it lies already. What it finds there says how similar a member of
+another list would have to be; of the next nearest lists, only those whose centre and spread allow that are visited.
 
 Equal vectors are searched once. A list is cut into blocks of members and of queries, so one list that holds a large
 share of all vectors is many tasks.
@@ -26,21 +32,34 @@ from landweave.session import cut_lineage, ship
 
 @dataclass
 class AdditiveQuantiser:
-    """``coarse`` (lists x d) and ``books`` (m x k x d)."""
+    """``coarse`` (c x d) and ``fine`` (f x d), whose sums are the centres of c x f lists, and ``books`` (m x k x d)."""
 
     coarse: np.ndarray
+    fine: np.ndarray
     books: np.ndarray
 
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
     def nearest_lists(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest coarse codewords of each row, nearest first."""
+        """The n nearest centres of each row, nearest first, among those of its n nearest coarse words."""
         score = x @ self.coarse.T - 0.5 * (self.coarse**2).sum(1)
-        n = min(n, score.shape[1])
-        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
+        n0 = min(n, score.shape[1])
+        words = np.argpartition(-score, n0 - 1, axis=1)[:, :n0]
+        if len(self.fine) > 1:  # |x - c - f|^2 needs the inner products of coarse and fine words too
+            part = np.take_along_axis(score, words, 1)[:, :, None] + (x @ self.fine.T - 0.5 * (self.fine**2).sum(1))[:, None, :] - (self.coarse @ self.fine.T)[words]
+            lists = words[:, :, None] * len(self.fine) + np.arange(len(self.fine))
+            part, lists = part.reshape(len(x), -1), lists.reshape(len(x), -1)
+        else:
+            part, lists = np.take_along_axis(score, words, 1), words
+        n1 = min(n, part.shape[1])
+        best = np.argpartition(-part, n1 - 1, axis=1)[:, :n1]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(part, best, 1), axis=1, kind="stable"), 1)
+        return np.take_along_axis(lists, best, 1)
 
     def encode(self, x: np.ndarray, lists: np.ndarray, beam: int = 4) -> np.ndarray:
         """Codes (n x m) of residuals by beam search: of all continuations, the ``beam`` of least error are kept."""
-        rest = (x - self.coarse[lists])[:, None, :]
+        rest = (x - self.centre(lists))[:, None, :]
         codes = np.zeros((len(x), 1, 0), np.int16)
         for book in self.books:
             error = (rest**2).sum(2)[:, :, None] - 2 * (rest @ book.T) + (book**2).sum(1)
@@ -54,7 +73,7 @@ class AdditiveQuantiser:
         return codes[np.arange(len(x)), (rest**2).sum(2).argmin(1)]
 
     def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        return self.coarse[lists] + sum(book[codes[:, m]] for m, book in enumerate(self.books))
+        return self.centre(lists) + sum(book[codes[:, m]] for m, book in enumerate(self.books))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of queries with all residual codewords: m x k x queries."""
@@ -73,13 +92,21 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 def fit(x: np.ndarray, lists: int, books: int = 4, words: int = 128, rounds: int = 8, seed: int = 7) -> AdditiveQuantiser:
-    """Codebooks from a sample of unit vectors: residual k-means, then one joint least-squares refit."""
+    """Codebooks from a sample of unit vectors: residual k-means, then one joint least-squares refit.
+
+    The first coarse codebook has a word per 16 vectors of the sample at most; the second makes up for the rest."""
     rng = np.random.default_rng(seed)
     x = np.ascontiguousarray(x, np.float32)
-    coarse = k_means(x, lists, rounds, rng)
-    model = AdditiveQuantiser(coarse, np.zeros((0, 1, x.shape[1]), np.float32))
+    first = max(1, min(lists, len(x) // 16))
+    coarse = k_means(x, first, rounds, rng)
+    zero = np.zeros((1, x.shape[1]), np.float32)
+    model = AdditiveQuantiser(coarse, zero, np.zeros((0, 1, x.shape[1]), np.float32))
     of = np.concatenate([model.nearest_lists(x[i : i + 8192], 1)[:, 0] for i in range(0, len(x), 8192)])
-    rest, residual_books = x - coarse[of], []
+    if lists > first:
+        model.fine = k_means(x - coarse[of], -(-lists // first), rounds, rng)
+        of = np.concatenate([model.nearest_lists(x[i : i + 2048], 1)[:, 0] for i in range(0, len(x), 2048)])
+    centre = model.centre(of)
+    rest, residual_books = x - centre, []
     for _ in range(books):
         book = k_means(rest, words, rounds, rng)
         residual_books.append(np.pad(book, ((0, words - len(book)), (0, 0))))
@@ -93,7 +120,7 @@ def fit(x: np.ndarray, lists: int, books: int = 4, words: int = 128, rounds: int
             np.add.at(gram, (flat[:, a], flat[:, b]), 1.0)
     right = 0.1 * model.books.reshape(books * words, -1).astype(np.float64)
     for a in range(books):
-        np.add.at(right, flat[:, a], (x - coarse[of]).astype(np.float64))
+        np.add.at(right, flat[:, a], (x - centre).astype(np.float64))
     model.books = np.linalg.solve(gram, right).reshape(model.books.shape).astype(np.float32)
     return model
 
@@ -104,11 +131,11 @@ def search_block(model: AdditiveQuantiser, lst: int, members: dict, queries: dic
     for i in range(0, len(queries["x"]), step):
         q = queries["x"][i : i + step]
         table = model.tables(q)
-        score = (model.coarse[lst] @ q.T)[None, :] + sum(table[m][codes[:, m]] for m in range(codes.shape[1]))
+        score = (model.centre(np.array([lst]))[0] @ q.T)[None, :] + sum(table[m][codes[:, m]] for m in range(codes.shape[1]))
         score /= norms[:, None]
         r = min(rerank, len(x))
-        near = np.argpartition(-score, r - 1, axis=0)[:r].T if r < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-        exact = np.einsum("qd,qrd->qr", queries["unit"][i : i + step], members["unit"][near], optimize=True).round(6)
+        near = np.argpartition(-score, r - 1, axis=0)[:r].T
+        exact = np.concatenate([np.einsum("qd,qrd->qr", queries["unit"][i + j : i + j + 128], members["unit"][near[j : j + 128]]) for j in range(0, len(q), 128)]).round(6)
         order = np.lexsort((members["first"][near], -exact), axis=1)[:, :k]
         yield np.repeat(np.arange(i, i + len(q)), order.shape[1]), np.take_along_axis(near, order, 1).ravel(), np.take_along_axis(exact, order, 1).ravel()
 
@@ -137,12 +164,15 @@ def distinct_vectors(df: DataFrame, key: str, vector: str, dim: int, copies: int
     return rows.select("id", "cls"), classes
 
 
-def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 128, k: int = 5, probes: int = 12, rerank: int = 48, sample: int = 32768, block: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 128, k: int = 5, probes: int = 12, rerank: int = 96, reach: float = 0.75, sample: int = 32768, block: int = 4096) -> DataFrame:
     """(id, neighbour, cosine): of every vector the k others most similar by cosine, rounded to 6 decimals, of equal
     ones those of smaller id. Approximate: what lies in none of the visited lists, or far down in one, is missed.
 
     ``sample``: the codebooks are fitted on at most so many rows; all rows are indexed and all are queries. The number
-    of lists grows with the square root of the number of vectors. Empty input gives no rows."""
+    of lists is four times the square root of the number of vectors. ``probes``: how many lists are considered.
+    ``reach``: one beyond a vector's own is visited if the inner product with its centre plus this share of its greatest
+    residual is no less than the k-th cosine found so far; at 1 none is left out that can hold anything nearer. Empty
+    input gives no rows."""
     ship(df)
     rows, classes = distinct_vectors(df, key, vector, dim, k + 1)
     classes = cut_lineage(classes)
@@ -154,8 +184,8 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim
     if len(drawn) == 0:
         drawn = classes.select("embedding").limit(sample).toPandas()["embedding"]
     x = _unit(np.stack(drawn.to_numpy()).astype(np.float32)).astype(np.float32)
-    model = fit(x, max(1, min(round(4 * math.sqrt(n)), len(x) // 16)))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # lists x dim floats, bounded by sample / 16 lists
+    model = fit(x, max(1, round(4 * math.sqrt(n))))
+    shared = df.sparkSession.sparkContext.broadcast(model)  # codebooks: bounded by the sample, but for a word per sample / 16 lists
 
     def encode(batches):
         m = shared.value
@@ -167,16 +197,12 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim
                 lists = m.nearest_lists(unit, probes)
                 codes = m.encode(unit, lists[:, 0])
                 norm = np.linalg.norm(m.decode(lists[:, 0], codes), axis=1)
-                yield pd.DataFrame({"cls": pdf["cls"].iloc[i : i + 2048], "ids": pdf["ids"].iloc[i : i + 2048], "vec": [r.tobytes() for r in part], "codes": [c.tobytes() for c in codes], "norm": np.maximum(norm, 1e-6), "lists": list(lists.astype(np.int32))})
+                spread = np.linalg.norm(unit - m.centre(lists[:, 0]), axis=1)
+                met = np.stack([(unit * m.centre(lists[:, j])).sum(1) for j in range(lists.shape[1])], axis=1)
+                yield pd.DataFrame({"cls": pdf["cls"].iloc[i : i + 2048], "ids": pdf["ids"].iloc[i : i + 2048], "vec": [r.tobytes() for r in part], "codes": [c.tobytes() for c in codes], "norm": np.maximum(norm, 1e-6), "spread": spread, "lists": list(lists.astype(np.int32)), "met": list(met.astype(np.float32))})
 
-    packed = classes.select(F.struct("cls.h1", "cls.h2").alias("cls"), "ids", "embedding").mapInPandas(_struct_safe(encode), "h1 bigint, h2 bigint, ids array<bigint>, vec binary, codes binary, norm double, lists array<int>")
+    packed = classes.select(F.struct("cls.h1", "cls.h2").alias("cls"), "ids", "embedding").mapInPandas(_struct_safe(encode), "h1 bigint, h2 bigint, ids array<bigint>, vec binary, codes binary, norm double, spread double, lists array<int>, met array<float>")
     index = cut_lineage(packed)
-    # one row per list, of which there are at most sample / 16: blocks of members and of queries
-    sizes = index.select(F.explode(F.transform("lists", lambda x, i: F.struct(x.alias("list"), (i == 0).cast("int").alias("own")))).alias("l")).groupBy("l.list").agg(F.sum("l.own").alias("m"), F.count(F.lit(1)).alias("q"))
-    cut = sizes.select("list", F.greatest(F.ceil(F.col("m") / block), F.lit(1)).cast("int").alias("mb"), F.greatest(F.ceil(F.col("q") / (4 * block)), F.lit(1)).cast("int").alias("qb"))
-    cut = F.broadcast(cut)
-    members = index.withColumn("list", F.col("lists")[0]).join(cut, "list").select("list", F.pmod("h1", "mb").cast("int").alias("mi"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qi"), F.col("ids")[0].alias("first"), "ids", "vec", "codes", "norm")
-    queries = index.select("h1", "h2", "vec", F.explode("lists").alias("list")).join(cut, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mi"), F.pmod("h2", "qb").cast("int").alias("qi"), "h1", "h2", "vec").toDF("q_list", "q_mi", "q_qi", "h1", "h2", "q_vec")
 
     def search(mem: pd.DataFrame, que: pd.DataFrame) -> pd.DataFrame:
         if mem.empty or que.empty:
@@ -190,7 +216,24 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim
         q, r, cos = (np.concatenate(p) for p in zip(*found, strict=True))
         return pd.DataFrame({"h1": que["h1"].to_numpy()[q], "h2": que["h2"].to_numpy()[q], "first": mem["first"].to_numpy()[r], "ids": mem["ids"].to_numpy()[r], "cosine": cos})
 
-    met = members.groupBy("list", "mi", "qi").cogroup(queries.groupBy("q_list", "q_mi", "q_qi")).applyInPandas(lambda a, b: search(a, b), "h1 bigint, h2 bigint, first bigint, ids array<bigint>, cosine double")
+    def visit(queries: DataFrame) -> DataFrame:
+        """What queries (h1, h2, vec, list) find in their lists, by blocks of members and of queries of a list."""
+        asked = queries.groupBy("list").agg(F.count(F.lit(1)).alias("q"))
+        # one row per list, of which there are four times the square root of the number of vectors
+        cut = held.join(asked, "list").select("list", F.greatest(F.ceil(F.col("m") / block), F.lit(1)).cast("int").alias("mb"), F.greatest(F.ceil(F.col("q") / (4 * block)), F.lit(1)).cast("int").alias("qb"))
+        members = index.withColumn("list", F.col("lists")[0]).join(F.broadcast(cut), "list").select("list", F.pmod("h1", "mb").cast("int").alias("mi"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qi"), F.col("ids")[0].alias("first"), "ids", "vec", "codes", "norm")
+        sent = queries.join(F.broadcast(cut), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mi"), F.pmod("h2", "qb").cast("int").alias("qi"), "h1", "h2", "vec").toDF("q_list", "q_mi", "q_qi", "h1", "h2", "q_vec")
+        return members.groupBy("list", "mi", "qi").cogroup(sent.groupBy("q_list", "q_mi", "q_qi")).applyInPandas(lambda a, b: search(a, b), "h1 bigint, h2 bigint, first bigint, ids array<bigint>, cosine double")
+
+    held = index.groupBy(F.col("lists")[0].alias("list")).agg(F.count(F.lit(1)).alias("m"), F.max("spread").alias("spread"))
+    at_home = cut_lineage(visit(index.select("h1", "h2", "vec", F.col("lists")[0].alias("list"))))
+    # a class counts for its copies: the cosine that k others reach, or none if there are fewer
+    ranks = W.partitionBy("h1", "h2").orderBy(F.desc("cosine"), "first").rowsBetween(W.unboundedPreceding, 0)
+    enough = at_home.select("h1", "h2", "cosine", F.sum(F.size("ids")).over(ranks).alias("_n")).where(F.col("_n") > k).groupBy("h1", "h2").agg(F.max("cosine").alias("kth"))
+    further = index.join(enough, ["h1", "h2"], "left").select("h1", "h2", "vec", "kth", F.explode(F.slice(F.arrays_zip("lists", "met"), 2, probes)).alias("l"))
+    further = further.select("h1", "h2", "vec", "kth", F.col("l.lists").alias("list"), F.col("l.met").alias("_met")).join(F.broadcast(held.select("list", "spread")), "list")
+    abroad = visit(further.where(F.col("kth").isNull() | (F.col("_met") + reach * F.col("spread") >= F.col("kth"))).select("h1", "h2", "vec", "list"))
+    met = at_home.unionByName(abroad)
     best = met.withColumn("_r", F.row_number().over(W.partitionBy("h1", "h2").orderBy(F.desc("cosine"), "first"))).where(F.col("_r") <= k + 1)
     # bounded: at most k + 1 classes of at most k + 1 ids
     ranked = best.groupBy("h1", "h2").agg(F.collect_list(F.struct("cosine", "ids")).alias("_c"))

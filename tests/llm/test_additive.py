@@ -56,3 +56,17 @@ def test_codes_approximate():
     beam = ((x - m.decode(lists, m.encode(x, lists, 8))) ** 2).sum(1).mean()
     greedy = ((x - m.decode(lists, m.encode(x, lists, 1))) ** 2).sum(1).mean()
     assert beam < greedy < 0.5 * coarse
+
+
+def test_lists_outgrow_the_sample(spark):
+    """With 12 coarse words the 155 lists of 1,500 vectors need the second codebook."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(60, 16))[rng.integers(60, size=1500)] + rng.normal(size=(1500, 16)) * 0.3).astype(np.float32)
+    m = fit(x[:200] / np.linalg.norm(x[:200], axis=1, keepdims=True), 155)
+    assert len(m.coarse) == 12 and len(m.fine) == 13
+    every = m.nearest_lists(x, 12 * 13)
+    d = ((x[:, None, :] - m.centre(every)) ** 2).sum(2)
+    assert (np.diff(d, axis=1) > -1e-3).all()
+    want = truth(x.astype(np.float64), list(range(1500)), 5)
+    got = {tuple(r) for r in neighbour_pairs(nearest(frame(spark, x), dim=16, sample=200)).collect()}
+    assert len(want & got) / len(want) > 0.9
