@@ -1,9 +1,10 @@
 """Which address records denote the same location.
 
 Records are parsed to typed tokens in canonical spelling and equal ones put into a class. Classes meet in MinHash bands:
-the shingles that never vary, house number and unit, together with a minimum of hashes of the street name's two-letter
-shingles. Candidates are verified by an alignment of their tokens with affine gaps. Substitutions cost by edit distance
-(abbreviations cost nothing, their dictionary is applied by the parser), gaps by the kind of token. A direction or street
+the tokens that never vary, house number and unit (another number is another location, so no candidate is lost), together
+with a minimum of hashes of the street name's words and two-letter shingles. Candidates are verified by an alignment of
+their tokens with affine gaps. Substitutions cost by edit distance, and next to nothing where a dictionary of abbreviations
+says that both are one word (that of directions and street types is applied by the parser); gaps by the kind of token. A direction or street
 type may be missing only where the corpus says so: if the street hardly ever occurs without it, and in one form only.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landweave.llm.postal import parse
+from landweave.llm.postal import OPEN, PLACE_WORDS, parse
 from landweave.llm.strings import osa
 from landweave.session import cut_lineage, ship
 
@@ -36,6 +37,20 @@ def parsed(records: DataFrame) -> DataFrame:
     return ship(records).select("record", "market", "address").where("record is not null and market is not null and address is not null").mapInPandas(run, "record string, market string, " + ", ".join(f"{p} string" for p in PARTS))
 
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """Divides street and place where the text did not: the longest end of the street's words that is a place of the
+    market in other records. What is no known place stays with the street."""
+    words = F.split("street", " ")
+    known = rows.where((F.col("city") != "") & (F.col("city") != OPEN)).select("market", "city").distinct()
+    streets = rows.where(F.col("city") == OPEN).select("market", "street").distinct()
+    ends = streets.withColumn("_k", F.explode(F.sequence(F.lit(1), F.size(words) - 1))).withColumn("city", F.array_join(F.slice(words, F.size(words) - F.col("_k") + 1, F.col("_k")), " "))
+    best = ends.join(known, ["market", "city"]).groupBy("market", "street").agg(F.max("_k").alias("_k"))
+    need = rows.where(F.col("city") == OPEN).join(best, ["market", "street"], "left")
+    k = F.coalesce("_k", F.lit(0))
+    place, rest = F.array_join(F.slice(words, F.size(words) - k + 1, k), " "), F.array_join(F.slice(words, 1, F.size(words) - k), " ")
+    return rows.where(F.col("city") != OPEN).unionByName(need.withColumns({"city": place, "street": rest}).select(*rows.columns))
+
+
 def with_zip(rows: DataFrame) -> DataFrame:
     """Fills a missing zip by the one that goes with the city in the market."""
     seen = rows.where("zip != '' and city != ''").groupBy("market", "city", "zip").agg(F.count(F.lit(1)).alias("n"))
@@ -68,9 +83,10 @@ def street_forms(cls: DataFrame, least: float = 0.25) -> DataFrame:
 
 
 def band_keys(text: Column, bands: int) -> Column:
-    """Minima of hashes of the two-letter shingles of a word; a number or an empty word is one shingle."""
+    """Minima of hashes of the words and two-letter shingles of a name; a number or an empty name is one shingle."""
     padded = F.concat(F.lit("^"), text, F.lit("$"))
-    grams = F.when(text.rlike("[0-9]") | (text == ""), F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2))))
+    shingles = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2)))
+    grams = F.when(text.rlike("[0-9]") | (text == ""), F.array(text)).otherwise(F.concat(F.split(text, " "), shingles))
 
     def least(seed: int) -> Column:
         return F.array_min(F.transform(grams, lambda g: F.xxhash64(F.lit(seed), g)))
@@ -109,6 +125,8 @@ def substitution(a: tuple[str, str], b: tuple[str, str]) -> float:
     y = b[1]
     if x == y:
         return 0.0
+    if kind in ("street", "city") and PLACE_WORDS.get(x, x) == PLACE_WORDS.get(y, y):
+        return 0.1
     if kind == "street" and not (x.isdigit() or y.isdigit()):
         d = osa(x, y, 2)
         return 1.0 if d == 1 and min(len(x), len(y)) > 3 else 1.6 if d == 2 and min(len(x), len(y)) > 5 else NEVER
@@ -161,7 +179,7 @@ def same_locations(records: DataFrame) -> DataFrame:
 
     Null addresses, and addresses without any number, are in no pair. A repeated record counts once. Equally written
     addresses are paired by their class; between classes only verified candidates are."""
-    rows = cut_lineage(classes(with_zip(parsed(records))).select("record", "cls", "market", *PARTS))
+    rows = cut_lineage(classes(with_zip(with_place(cut_lineage(parsed(records))))).select("record", "cls", "market", *PARTS))
     members = rows.select("record", "cls").distinct()
     distinct = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("market", *PARTS)])
     forms = street_forms(distinct)

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landweave.llm.names import BUSINESS, parse_name, squeezed
-from landweave.llm.postal import parse
+from landweave.llm.postal import OPEN, parse
 from landweave.session import cut_lineage, ship
 
 #: Attributes and their levels. 0 is disagreement; MISSING says nothing.
@@ -35,8 +35,8 @@ START = {
 def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, share: float = 0.1):
     """(share of matches, per attribute (levels among matches, among non-matches)) from counted patterns.
 
-    Smoothed by one pair in the starting proportions, so a level that doesn't occur keeps a chance. Levels of matches
-    keep at least half of their starting weight in order, which holds the two classes apart on few data."""
+    Smoothed by 20 pairs per attribute in the starting proportions, so a level that doesn't occur keeps a chance and the
+    two classes stay apart on few data."""
     tables = [tuple(dict(side) for side in START[a]) for a in ATTRIBUTES]
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
@@ -78,7 +78,8 @@ def _name_parts(name: str | None, agent: str | None) -> tuple | None:
 
 def _place(text: str | None) -> tuple:
     p = parse(text)
-    return (p[0], p[1], p[2], p[4], p[6]) if p else ("", "", "", "", "")
+    # without a corpus of places, an undivided street and place count by their first word
+    return (p[0], p[1], p[2].split(" ")[0] if p[5] == OPEN else p[2], p[4], p[6]) if p else ("", "", "", "", "")
 
 
 _PLACE = ("no", "way", "street", "unit", "zip")

@@ -124,3 +124,24 @@ def test_registry_links(spark):
 
 def test_em_without_pairs():
     assert expectation_maximisation([])[0] == 0.1
+
+
+def test_streets_without_a_type():
+    assert parse("12 Rolling Green Hills, Ocala FL 34470")[2] == "ROLLING GREEN HILLS"
+    assert parse("12 Mill Ridge Ocala FL 34470")[2:] == ("MILL RIDGE OCALA", "", "", "?", "34470")
+    assert parse("10 Martin Luther King Junior Memorial Dr, Ocala")[2:4] == ("MARTIN LUTHER KING JUNIOR MEMORIAL", "DR")
+    assert parse("12 Park Place Dr, Ocala, FL")[2:4] == ("PARK PLACE", "DR")
+    assert parse("12 Peachtree St, Atlanta GA 30301")[5] == "ATLANTA"
+    assert parse("123 1/2 Main St, Ocala")[:3] == ("123H12", "", "MAIN") and parse("123A Main St, Ocala")[0] == "123A"
+    assert parse("12 Oak Dr St Petersburg FL 33701")[2:6] == ("OAK", "DR", "", "ST PETERSBURG")
+
+
+def test_locations_outside_the_usual(spark):
+    rows = [
+        ("e:1", "m", "12 Mill Ridge Ocala FL 34470"), ("e:2", "m", "12 Mill Creek Ocala FL 34470"), ("e:3", "m", "12 MILL RIDGE, OCALA, FL 34470"), ("e:4", "m", "12 mill creek, ocala"),
+        ("e:5", "m", "12 Rolling Green Hills, Ocala FL 34470"), ("e:6", "m", "12 Rolling Meadow View, Ocala FL 34470"), ("e:7", "m", "12 Rolling Grene Hills Ocala FL"),
+        ("e:8", "m", "10 Martin Luther King Junior Memorial Dr, Ocala"), ("e:9", "m", "10 Martin Luther King Jr Memorial Drive, Ocala"), ("p:A", "m", "10 Martin Luther Way, Ocala"),
+        ("p:B", "m", "123 1/2 Main St, Ocala"), ("p:C", "m", "123 Main St, Ocala"), ("p:D", "m", "123-1/2 MAIN STREET OCALA"),
+    ]
+    df = spark.createDataFrame(rows, "record string, market string, address string")
+    assert pairs(same_locations(df)) == {("e:1", "e:3"), ("e:2", "e:4"), ("e:5", "e:7"), ("e:8", "e:9"), ("p:B", "p:D")}
