@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landweave.llm.postal import OPEN, PLACE_WORDS, parse
+from landweave.llm.postal import DIRECTIONS, OPEN, PLACE_WORDS, parse
 from landweave.llm.strings import osa
 from landweave.session import cut_lineage, ship
 
@@ -47,8 +47,13 @@ def with_place(rows: DataFrame) -> DataFrame:
     best = ends.join(known, ["market", "city"]).groupBy("market", "street").agg(F.max("_k").alias("_k"))
     need = rows.where(F.col("city") == OPEN).join(best, ["market", "street"], "left")
     k = F.coalesce("_k", F.lit(0))
-    place, rest = F.array_join(F.slice(words, F.size(words) - k + 1, k), " "), F.array_join(F.slice(words, 1, F.size(words) - k), " ")
-    return rows.where(F.col("city") != OPEN).unionByName(need.withColumns({"city": place, "street": rest}).select(*rows.columns))
+    place, rest = F.array_join(F.slice(words, F.size(words) - k + 1, k), " "), F.slice(words, 1, F.size(words) - k)
+    # a direction may follow the street's name
+    directions = F.create_map(*[F.lit(x) for pair in DIRECTIONS.items() for x in pair])
+    behind = F.when((F.col("way") == "") & (F.size("_rest") > 1), directions[F.element_at("_rest", -1)])
+    need = need.withColumns({"city": place, "_rest": rest}).withColumn("_way", behind)
+    street = F.array_join(F.when(F.col("_way").isNull(), F.col("_rest")).otherwise(F.slice("_rest", 1, F.size("_rest") - 1)), " ")
+    return rows.where(F.col("city") != OPEN).unionByName(need.withColumns({"way": F.coalesce("_way", "way"), "street": street}).select(*rows.columns))
 
 
 def with_zip(rows: DataFrame) -> DataFrame:

@@ -142,6 +142,7 @@ def test_locations_outside_the_usual(spark):
         ("e:5", "m", "12 Rolling Green Hills, Ocala FL 34470"), ("e:6", "m", "12 Rolling Meadow View, Ocala FL 34470"), ("e:7", "m", "12 Rolling Grene Hills Ocala FL"),
         ("e:8", "m", "10 Martin Luther King Junior Memorial Dr, Ocala"), ("e:9", "m", "10 Martin Luther King Jr Memorial Drive, Ocala"), ("p:A", "m", "10 Martin Luther Way, Ocala"),
         ("p:B", "m", "123 1/2 Main St, Ocala"), ("p:C", "m", "123 Main St, Ocala"), ("p:D", "m", "123-1/2 MAIN STREET OCALA"),
+        ("p:E", "m", "14 Birch NE Ocala FL 34470"), ("p:F", "m", "14 NE Birch, Ocala"), ("p:G", "m", "14 SE Birch, Ocala"),
     ]
     df = spark.createDataFrame(rows, "record string, market string, address string")
-    assert pairs(same_locations(df)) == {("e:1", "e:3"), ("e:2", "e:4"), ("e:5", "e:7"), ("e:8", "e:9"), ("p:B", "p:D")}
+    assert pairs(same_locations(df)) == {("e:1", "e:3"), ("e:2", "e:4"), ("e:5", "e:7"), ("e:8", "e:9"), ("p:B", "p:D"), ("p:E", "p:F")}
