@@ -39,12 +39,21 @@ def parsed(records: DataFrame) -> DataFrame:
 
 def with_place(rows: DataFrame) -> DataFrame:
     """Divides street and place where the text did not: the longest end of the street's words that is a place of the
-    market in other records. What is no known place stays with the street."""
+    market in other records, or, if long, within two typing errors of one. What is no known place stays with the street."""
     words = F.split("street", " ")
     known = rows.where((F.col("city") != "") & (F.col("city") != OPEN)).select("market", "city").distinct()
     streets = rows.where(F.col("city") == OPEN).select("market", "street").distinct()
     ends = streets.withColumn("_k", F.explode(F.sequence(F.lit(1), F.size(words) - 1))).withColumn("city", F.array_join(F.slice(words, F.size(words) - F.col("_k") + 1, F.col("_k")), " "))
-    best = ends.join(known, ["market", "city"]).groupBy("market", "street").agg(F.max("_k").alias("_k"))
+
+    def keys(name: str) -> Column:
+        """A typing error in a long name leaves its head or its tail."""
+        c = F.col(name)
+        return F.explode(F.array(F.concat(F.lit("<"), F.substring(c, 1, 4)), F.concat(F.lit(">"), F.right(c, F.lit(4)))))
+
+    words_in = F.size(F.split("city", " "))
+    near = ends.withColumn("_key", keys("city")).join(known.select("market", F.col("city").alias("_known"), keys("city").alias("_key"), words_in.alias("_k")), ["market", "_key", "_k"])
+    near = near.where((F.length("_known") > 7) & (F.levenshtein("city", "_known", 2) >= 0)).select("market", "street", "_k")
+    best = ends.join(known, ["market", "city"]).select("market", "street", "_k").unionByName(near).groupBy("market", "street").agg(F.max("_k").alias("_k"))
     need = rows.where(F.col("city") == OPEN).join(best, ["market", "street"], "left")
     k = F.coalesce("_k", F.lit(0))
     place, rest = F.array_join(F.slice(words, F.size(words) - k + 1, k), " "), F.slice(words, 1, F.size(words) - k)
@@ -88,15 +97,16 @@ def street_forms(cls: DataFrame, least: float = 0.25) -> DataFrame:
 
 
 def band_keys(text: Column, bands: int) -> Column:
-    """Minima of hashes of the words and two-letter shingles of a name; a number or an empty name is one shingle."""
+    """Minima of hashes of the two-letter shingles of a name, then two of its words; a number or an empty name is one
+    shingle."""
     padded = F.concat(F.lit("^"), text, F.lit("$"))
     shingles = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substr(padded, i, F.lit(2)))
-    grams = F.when(text.rlike("[0-9]") | (text == ""), F.array(text)).otherwise(F.concat(F.split(text, " "), shingles))
+    grams = F.when(text.rlike("[0-9]") | (text == ""), F.array(text)).otherwise(shingles)
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(grams, lambda g: F.xxhash64(F.lit(seed), g)))
+    def least(of: Column, seed: int) -> Column:
+        return F.array_min(F.transform(of, lambda g: F.xxhash64(F.lit(seed), g)))
 
-    return F.array(*map(least, range(bands)))
+    return F.array(*[least(grams, i) for i in range(bands)], *[least(F.split(text, " "), -1 - i) for i in range(2)])
 
 
 def candidates(cls: DataFrame, bands: int = 8) -> DataFrame:
