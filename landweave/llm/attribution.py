@@ -1,19 +1,20 @@
 """Variant spellings of names, attributed to canonical forms by a noisy channel.
 
-Names are parsed to parts and equal ones counted as one form. A form may be a variant of any form of its market that is
-at least as complete in every part and, if equally complete, more frequent. Its posterior is the frequency of that form
-times the likelihood that the channel turns it into the variant: typing errors in the core, a given name cut to its
-initial, parts left out. The alternative is that the form is a name of its own. Each form is attached to its maximum, and
-attachments are followed to their ends.
+Names are parsed to parts and equal ones counted as one form. Which word of a name is the given one is learnt from the
+corpus where the name itself does not tell: names with a comma, an initial or a usual given name show how often a word
+stands in either place. A form may be a variant of any form of its market that is at least as complete in every part and,
+if equally complete, more frequent. Its posterior is the frequency of that form times the likelihood that the channel
+turns it into the variant: typing errors in the core, a given name cut to its initial, parts left out. The alternative is
+that the form is a name of its own. Each form is attached to its maximum, and attachments are followed to their ends.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landweave.llm.names import parse_name
+from landweave.llm.names import read_name
 from landweave.session import cut_lineage, ship
 
 FIELDS = ("kind", "core", "first", "middle", "extra")
@@ -22,14 +23,39 @@ ONE_ERROR, TWO_ERRORS, INITIAL, NO_MIDDLE, NO_EXTRA, OWN_NAME = -4.0, -5.5, -2.5
 
 
 def named(records: DataFrame) -> DataFrame:
-    """(record, market, *FIELDS, form) of records (record, market, name) whose name has a letter."""
+    """(record, market, *FIELDS, other) of records (record, market, name) whose name has a letter; ``other`` (core, first)
+    is given where a name may be read in the other order as well."""
 
     def run(batches):
         for pdf in batches:
-            rows = [(r, m, *p) for r, m, n in zip(pdf["record"], pdf["market"], pdf["name"], strict=True) if (p := parse_name(n)) is not None]
-            yield pd.DataFrame(rows, columns=["record", "market", *FIELDS])
-
-    parts = ship(records).select("record", "market", "name").where("record is not null and market is not null and name is not null").mapInPandas(run, "record string, market string, " + ", ".join(f"{f} string" for f in FIELDS))
+            read = [(r, m, x) for r, m, n in zip(pdf["record"], pdf["market"], pdf["name"], strict=True) if (x := read_name(n)) is not None]
+            rows = [(r, m, *p, q and q.core, q and q.first) for r, m, (p, q) in read]
+            yield pd.DataFrame(rows, columns=["record", "market", *FIELDS, "other_core", "other_first"])
+
+    return ship(records).select("record", "market", "name").where("record is not null and market is not null and name is not null").mapInPandas(run, "record string, market string, " + ", ".join(f"{f} string" for f in (*FIELDS, "other_core", "other_first")))
+
+
+def oriented(rows: DataFrame) -> DataFrame:
+    """(record, market, *FIELDS, form): names that may be read in two orders are read as their words usually stand.
+
+    A reading counts by how often its surname is one in other records, times how often its given name is one; of equal
+    readings that with the surname first in alphabetical order is taken, whichever way the name was written."""
+    told = rows.where("kind = 'P' and other_core is null and length(first) > 1")
+    places = told.select(F.explode(F.array(F.struct(F.col("core").alias("word"), F.lit(1).alias("last")), F.struct(F.col("first").alias("word"), F.lit(0).alias("last")))).alias("x"))
+    counts = places.groupBy("x.word").agg(F.sum("x.last").alias("last"), F.sum(1 - F.col("x.last")).alias("given"))
+    both = rows.where("other_core is not null").select("core", "first", "other_core", "other_first").distinct()
+    for column in ("core", "first", "other_core", "other_first"):
+        n = "last" if column.endswith("core") else "given"
+        both = both.join(counts.select(F.col("word").alias(column), F.col(n).alias(f"_{column}")), column, "left")
+
+    def weight(core: str, first: str) -> Column:
+        return (F.coalesce(F.col(core), F.lit(0)) + 0.5) * (F.coalesce(F.col(first), F.lit(0)) + 0.5)
+
+    turned = both.where(weight("_other_core", "_other_first") > weight("_core", "_first")).select("core", "first", "other_core", "other_first", F.lit(True).alias("_turn"))
+    open_ = rows.where("other_core is not null").join(turned, ["core", "first", "other_core", "other_first"], "left")
+    other = F.col("_turn").isNotNull()
+    open_ = open_.withColumns({"core": F.when(other, F.col("other_core")).otherwise(F.col("core")), "first": F.when(other, F.col("other_first")).otherwise(F.col("first"))})
+    parts = rows.where("other_core is null").select("record", "market", *FIELDS).unionByName(open_.select("record", "market", *FIELDS))
     return parts.withColumn("form", F.xxhash64("market", *[F.concat_ws("", f) for f in FIELDS], F.concat_ws("|", *FIELDS)))
 
 
@@ -96,17 +122,23 @@ def attachments(forms: DataFrame) -> DataFrame:
     # every record of the variant would have had the same typing error, while a part left out is a habit
     score = F.log("cn") + typed * col("vn") + first + middle + extra
     met = v.join(near_cores(forms), "a").join(c, ["b", "rest"]).where(col("v") != col("c")).where(F.when(p, F.lit(True)).otherwise((col("v_first") == col("c_first")) & (col("v_middle") == col("c_middle"))))
-    scored = met.withColumn("score", score).where(above & (col("score") > OWN_NAME + F.when(errors == 0, -100.0).otherwise(F.log("vn"))))
+    scored = met.withColumn("score", score).where(above & (col("score") > OWN_NAME + F.log("vn")))
     return scored.groupBy("v").agg(F.max_by("c", F.struct("score", "cn", "c")).alias("to")).withColumnRenamed("v", "form")
 
 
-def canonical(forms: DataFrame, rounds: int = 3) -> DataFrame:
-    """(form, root) of all forms; attachments are followed over up to 2 ** rounds steps by doubling."""
+def canonical(forms: DataFrame) -> DataFrame:
+    """(form, root) of all forms; attachments are followed to their ends by doubling, however long the chains are.
+
+    Each attachment leads to a fuller or, if as full, more frequent form, so there are no circles. The lineage is cut in
+    every round."""
     up = cut_lineage(forms.select("form").join(attachments(forms), "form", "left").select("form", F.coalesce("to", "form").alias("root")))
-    for _ in range(rounds):
-        nxt = up.toDF("root", "_next")
-        up = up.join(nxt, "root").select("form", F.col("_next").alias("root"))
-    return up
+    while True:
+        # ends lead to themselves and need no step
+        steps = up.where("form != root").toDF("root", "_next")
+        nxt = cut_lineage(up.join(steps, "root", "left").select("form", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
+        up = nxt.drop("_moved")
+        if nxt.where("_moved").isEmpty():
+            return up
 
 
 def same_names(records: DataFrame) -> DataFrame:
@@ -114,7 +146,7 @@ def same_names(records: DataFrame) -> DataFrame:
     with ``o:`` are not paired with each other. Smaller key first; null names and names without a letter are in no pair.
 
     A repeated record counts once. One name that a large share of all records bear is one form until the final join."""
-    rows = cut_lineage(named(records))
+    rows = cut_lineage(oriented(cut_lineage(named(records))))
     members = rows.select("record", "form").distinct()
     forms = rows.groupBy("form").agg(*[F.min(f).alias(f) for f in ("market", *FIELDS)], F.count(F.lit(1)).alias("n"))
     rooted = members.join(canonical(forms), "form").select("record", "root")

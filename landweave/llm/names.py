@@ -104,7 +104,14 @@ def _organisation(text: str) -> Name | None:
 
 
 def parse_name(text: str | None) -> Name | None:
-    """The parts of a name; None for a null name or one without a letter."""
+    """The parts of a name; None for a null name or one without a letter. Where neither a comma, an initial nor a known
+    given name tells which of two words is the surname, it is the first in alphabetical order."""
+    read = read_name(text)
+    return read and read[0]
+
+
+def read_name(text: str | None) -> tuple[Name, Name | None] | None:
+    """The parts of a name, and, where its words could as well be in the other order, the parts in that order."""
     if text is None:
         return None
     s = _TAIL.sub(" ", " ".join(text.upper().replace("'", "").split()))
@@ -113,7 +120,8 @@ def parse_name(text: str | None) -> Name | None:
         return None
     joined = " ".join(tokens)
     if any(t in BUSINESS or t in PUBLIC or t in PUBLIC_SHORT or t.isdigit() for t in tokens) or "&" in s or any(p.search(joined) for p, _ in _FORMS):
-        return _organisation(joined)
+        whole = _organisation(joined)
+        return whole and (whole, None)
     generation = next((GENERATIONS[t] for t in tokens if t in GENERATIONS), "")
     comma = s.find(",")
     left = [t for t in re.findall(r"[A-Z]+", s[:comma].replace("-", "")) if t not in TITLES and t not in GENERATIONS] if comma >= 0 else []
@@ -127,7 +135,10 @@ def parse_name(text: str | None) -> Name | None:
         last = long_[0]
         rest = [t for t in words if t != last]
     elif not long_:
-        return Name("P", "".join(words), "", "", generation)
+        return Name("P", "".join(words), "", "", generation), None
+    elif len(words) == 2 and words[0] != words[1] and (known := [w in NICKNAMES or w in GIVEN for w in words])[0] == known[1] and (known[0] or bool(given_name(words[0])) == bool(given_name(words[1]))):
+        a, b = sorted(words)
+        return tuple(Name("P", last, given_name(first) or first, "", generation) for last, first in ((a, b), (b, a)))
     else:
         a, b = words[0], words[-1] if len(words[-1]) > 1 else long_[-1]
         ga, gb = given_name(a) if len(a) > 1 else "", given_name(b)
@@ -140,4 +151,4 @@ def parse_name(text: str | None) -> Name | None:
             last, rest = a, words[1:]
     first = rest[0] if rest else ""
     middle = rest[1][0] if len(rest) > 1 else ""
-    return Name("P", last, given_name(first) or first, middle, generation)
+    return Name("P", last, given_name(first) or first, middle, generation), None

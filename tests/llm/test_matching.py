@@ -146,3 +146,25 @@ def test_locations_outside_the_usual(spark):
     ]
     df = spark.createDataFrame(rows, "record string, market string, address string")
     assert pairs(same_locations(df)) == {("e:1", "e:3"), ("e:2", "e:4"), ("e:5", "e:7"), ("e:8", "e:9"), ("p:B", "p:D"), ("p:E", "p:F")}
+
+
+def test_names_outside_the_dictionary(spark):
+    """Word order is learnt from other records, or read alike where none tells."""
+    rows = [
+        ("e:1", "m", "Zainab Okafor"), ("e:2", "m", "OKAFOR ZAINAB"), ("e:3", "m", "Okafor, Zainab"), ("e:4", "m", "Adeyemi Tunde"), ("e:5", "m", "Tunde Adeyemi"),
+        ("e:6", "m", "Siobhan Q Kelly"), ("e:7", "m", "KELLY SIOBHAN"), ("e:8", "m", "TANAKA, HIROSHI"), ("o:A", "m", "Hiroshi Tanaka"), ("e:9", "m", "Okafor Hiroshi"), ("e:10", "m", "Tunde Okafor"),
+    ]
+    df = spark.createDataFrame(rows, "record string, market string, name string")
+    assert pairs(same_names(df)) == {("e:1", "e:2"), ("e:1", "e:3"), ("e:2", "e:3"), ("e:4", "e:5"), ("e:6", "e:7"), ("e:8", "o:A")}
+
+
+def test_a_chain_of_twenty(spark):
+    forms = spark.createDataFrame([(i,) for i in range(21)], "form bigint")
+    import landweave.llm.attribution as module
+
+    whole = module.attachments
+    module.attachments = lambda _: spark.createDataFrame([(i, i + 1) for i in range(20)], "form bigint, to bigint")
+    try:
+        assert {tuple(r) for r in module.canonical(forms).collect()} == {(i, 20) for i in range(21)}
+    finally:
+        module.attachments = whole
