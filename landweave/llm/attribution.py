@@ -11,7 +11,7 @@ that the form is a name of its own. Each form is attached to its maximum, and at
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landweave.llm.names import read_name
@@ -43,16 +43,14 @@ def oriented(rows: DataFrame) -> DataFrame:
     told = rows.where("kind = 'P' and other_core is null and length(first) > 1")
     places = told.select(F.explode(F.array(F.struct(F.col("core").alias("word"), F.lit(1).alias("last")), F.struct(F.col("first").alias("word"), F.lit(0).alias("last")))).alias("x"))
     counts = places.groupBy("x.word").agg(F.sum("x.last").alias("last"), F.sum(1 - F.col("x.last")).alias("given"))
-    both = rows.where("other_core is not null").select("core", "first", "other_core", "other_first").distinct()
-    for column in ("core", "first", "other_core", "other_first"):
-        n = "last" if column.endswith("core") else "given"
-        both = both.join(counts.select(F.col("word").alias(column), F.col(n).alias(f"_{column}")), column, "left")
-
-    def weight(core: str, first: str) -> Column:
-        return (F.coalesce(F.col(core), F.lit(0)) + 0.5) * (F.coalesce(F.col(first), F.lit(0)) + 0.5)
-
-    turned = both.where(weight("_other_core", "_other_first") > weight("_core", "_first")).select("core", "first", "other_core", "other_first", F.lit(True).alias("_turn"))
-    open_ = rows.where("other_core is not null").join(turned, ["core", "first", "other_core", "other_first"], "left")
+    names = ["core", "first", "other_core", "other_first"]
+    both = rows.where("other_core is not null").select(*names).distinct()
+    # one join for the four words of a pair
+    asked = both.select(*names, F.posexplode(F.array(*names)).alias("_i", "word")).join(counts, "word", "left")
+    n = F.coalesce(F.when(F.col("_i") % 2 == 0, F.col("last")).otherwise(F.col("given")), F.lit(0)) + 0.5
+    weighed = asked.groupBy(*names).agg(*[F.max(F.when(F.col("_i") == i, n)).alias(f"_{i}") for i in range(4)])
+    turned = weighed.where(F.col("_2") * F.col("_3") > F.col("_0") * F.col("_1")).select(*names, F.lit(True).alias("_turn"))
+    open_ = rows.where("other_core is not null").join(turned, names, "left")
     other = F.col("_turn").isNotNull()
     open_ = open_.withColumns({"core": F.when(other, F.col("other_core")).otherwise(F.col("core")), "first": F.when(other, F.col("other_first")).otherwise(F.col("first"))})
     parts = rows.where("other_core is null").select("record", "market", *FIELDS).unionByName(open_.select("record", "market", *FIELDS))
