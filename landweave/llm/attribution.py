@@ -46,11 +46,11 @@ def oriented(rows: DataFrame) -> DataFrame:
     names = ["core", "first", "other_core", "other_first"]
     both = rows.where("other_core is not null").select(*names).distinct()
     # one join for the four words of a pair
-    asked = both.select(*names, F.posexplode(F.array(*names)).alias("_i", "word")).join(counts, "word", "left")
+    asked = both.select(*names, F.posexplode(F.array(*names)).alias("_i", "word")).join(counts.hint("merge"), "word", "left")
     n = F.coalesce(F.when(F.col("_i") % 2 == 0, F.col("last")).otherwise(F.col("given")), F.lit(0)) + 0.5
     weighed = asked.groupBy(*names).agg(*[F.max(F.when(F.col("_i") == i, n)).alias(f"_{i}") for i in range(4)])
     turned = weighed.where(F.col("_2") * F.col("_3") > F.col("_0") * F.col("_1")).select(*names, F.lit(True).alias("_turn"))
-    open_ = rows.where("other_core is not null").join(turned, names, "left")
+    open_ = rows.where("other_core is not null").join(turned.hint("merge"), names, "left")
     other = F.col("_turn").isNotNull()
     open_ = open_.withColumns({"core": F.when(other, F.col("other_core")).otherwise(F.col("core")), "first": F.when(other, F.col("other_first")).otherwise(F.col("first"))})
     parts = rows.where("other_core is null").select("record", "market", *FIELDS).unionByName(open_.select("record", "market", *FIELDS))
@@ -84,7 +84,7 @@ def near_cores(forms: DataFrame, short: int = 11) -> DataFrame:
         k = cores.select(F.explode(keys).alias("key"), "market", "kind", F.col("core_id").alias(x), F.col("core").alias(f"{x}_core")).where("key is not null")
         return k.select(F.xxhash64("market", "kind", "key").alias("key"), x, f"{x}_core")
 
-    met = [keyed(deletions, "a").join(keyed(deletions, "b"), "key").where("a < b"), keyed(sought, "a").join(keyed(held, "b"), "key").where("a != b")]
+    met = [keyed(deletions, "a").join(keyed(deletions, "b").hint("merge"), "key").where("a < b"), keyed(sought, "a").join(keyed(held, "b").hint("merge"), "key").where("a != b")]
     errors = F.levenshtein("a_core", "b_core", 2)
     pairs = met[0].unionByName(met[1]).select("a", "b", errors.alias("errors"), F.length("a_core").alias("a_n"), F.length("b_core").alias("b_n")).where("errors > 0").distinct()
     both = pairs.unionByName(pairs.select(F.col("a").alias("b"), F.col("b").alias("a"), "errors", F.col("a_n").alias("b_n"), F.col("b_n").alias("a_n")))
@@ -119,7 +119,7 @@ def attachments(forms: DataFrame) -> DataFrame:
     above = fuller | (col("cn") > col("vn")) | ((col("cn") == col("vn")) & (col("c") < col("v")))
     # every record of the variant would have had the same typing error, while a part left out is a habit
     score = F.log("cn") + typed * col("vn") + first + middle + extra
-    met = v.join(near_cores(forms), "a").join(c, ["b", "rest"]).where(col("v") != col("c")).where(F.when(p, F.lit(True)).otherwise((col("v_first") == col("c_first")) & (col("v_middle") == col("c_middle"))))
+    met = v.join(near_cores(forms).hint("merge"), "a").join(c.hint("merge"), ["b", "rest"]).where(col("v") != col("c")).where(F.when(p, F.lit(True)).otherwise((col("v_first") == col("c_first")) & (col("v_middle") == col("c_middle"))))
     scored = met.withColumn("score", score).where(above & (col("score") > OWN_NAME + F.log("vn")))
     return scored.groupBy("v").agg(F.max_by("c", F.struct("score", "cn", "c")).alias("to")).withColumnRenamed("v", "form")
 
@@ -129,11 +129,11 @@ def canonical(forms: DataFrame) -> DataFrame:
 
     Each attachment leads to a fuller or, if as full, more frequent form, so there are no circles. The lineage is cut in
     every round."""
-    up = cut_lineage(forms.select("form").join(attachments(forms), "form", "left").select("form", F.coalesce("to", "form").alias("root")))
+    up = cut_lineage(forms.select("form").join(attachments(forms).hint("merge"), "form", "left").select("form", F.coalesce("to", "form").alias("root")))
     while True:
         # ends lead to themselves and need no step
         steps = up.where("form != root").toDF("root", "_next")
-        nxt = cut_lineage(up.join(steps, "root", "left").select("form", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
+        nxt = cut_lineage(up.join(steps.hint("merge"), "root", "left").select("form", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
         up = nxt.drop("_moved")
         if nxt.where("_moved").isEmpty():
             return up
@@ -143,10 +143,10 @@ def same_names(records: DataFrame) -> DataFrame:
     """(record_a, record_b): pairs of one market that mean the same person or organisation; records whose key starts
     with ``o:`` are not paired with each other. Smaller key first; null names and names without a letter are in no pair.
 
-    A repeated record counts once. One name that a large share of all records bear is one form until the final join."""
+    Both sides of all joins grow with the data, so none is broadcast. A repeated record counts once. One name that a large share of all records bear is one form until the final join."""
     rows = cut_lineage(oriented(cut_lineage(named(records))))
     members = rows.select("record", "form").distinct()
     forms = rows.groupBy("form").agg(*[F.min(f).alias(f) for f in ("market", *FIELDS)], F.count(F.lit(1)).alias("n"))
-    rooted = members.join(canonical(forms), "form").select("record", "root")
+    rooted = members.join(canonical(forms).hint("merge"), "form").select("record", "root")
     entities = rooted.where(~F.col("record").startswith("o:")).toDF("ra", "root")
-    return entities.join(rooted.toDF("rb", "root"), "root").where((F.col("ra") < F.col("rb")) | F.col("rb").startswith("o:")).where("ra != rb").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b")).distinct()
+    return entities.join(rooted.toDF("rb", "root").hint("merge"), "root").where((F.col("ra") < F.col("rb")) | F.col("rb").startswith("o:")).where("ra != rb").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b")).distinct()
