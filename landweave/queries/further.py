@@ -12,7 +12,7 @@ from landweave.operators.dual_tree import usable
 from landweave.operators.fuzzy import best_match, similarity_join
 from landweave.operators.search import Criteria, search
 from landweave.queries.base import Registry
-from landweave.queries.scalars import OK, jaccard, word_grams
+from landweave.queries.scalars import OK
 
 reg = Registry()
 query = reg.query
@@ -89,8 +89,7 @@ def q21(t):
     return R.street_gaps(held, "owner_name", "property_address")
 
 
-@query("q34_place_of_reports", f"""WITH c AS (SELECT id, {word_grams('incident_address')} AS g, market_id || ':' || regexp_extract(trim(incident_address), '^([0-9]+)', 1) AS s FROM crime_reports WHERE regexp_matches(trim(incident_address), '^[0-9]')), p AS (SELECT parcel_key, {word_grams('property_address')} AS h, market_id || ':' || regexp_extract(trim(property_address), '^([0-9]+)', 1) AS s FROM parcels WHERE regexp_matches(trim(property_address), '^[0-9]')),
-x AS (SELECT c.id, p.parcel_key, {jaccard('g', 'h')} AS v FROM c JOIN p ON c.s = p.s AND list_has_any(g, h)) SELECT id, parcel_key, round(v, 6) AS similarity FROM x WHERE v >= 0.75 QUALIFY row_number() OVER (PARTITION BY id ORDER BY v DESC, parcel_key) = 1""")
+@query("q34_place_of_reports")
 def q34(t):
     def side(df, key: str, address: str):
         return df.select(D(key).cast("string").alias("k"), D(address).alias("a"), "market_id")

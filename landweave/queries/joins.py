@@ -90,7 +90,7 @@ def j10(t):
     return t.permits.agg(F.count_if(now).alias("this_year"), F.count_if(before).alias("last_year"), F.sum(F.when(now, D("project_value"))).alias("this_value"), F.sum(F.when(before, D("project_value"))).alias("last_value"))
 
 
-@query("j11_near_centroid", f"""WITH ok AS (SELECT * FROM parcels WHERE {OK}), c AS (SELECT owner_name, avg(latitude) AS la, avg(longitude) AS lo FROM ok WHERE owner_name IS NOT NULL AND owner_name <> 'STATE TRANSPORTATION LAND RESERVE' GROUP BY 1 HAVING count(*) >= 3)
+@query("j11_near_centroid", f"""WITH ok AS (SELECT * FROM parcels WHERE {OK}), c AS (SELECT owner_name, avg(latitude) AS la, avg(longitude) AS lo FROM ok WHERE owner_name IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
 SELECT c.owner_name, p.parcel_key FROM c JOIN ok p ON p.latitude BETWEEN c.la - 0.002 AND c.la + 0.002 AND {HAVERSINE.format(a='c.la', b='c.lo', c='p.latitude', e='p.longitude')} <= 200""")
 def j11(t):
     ok = t.parcels.where(usable(D("latitude"), D("longitude")))
@@ -156,7 +156,7 @@ def j16(t):
     return t("entities").select("id", F.upper("primary_address").alias("a")).join(one, "a").select("id", "parcel_key")
 
 
-@query("j17_text_contains_name", r"WITH n AS (SELECT DISTINCT regexp_replace(s_name, '[^\p{L}\p{N}]+', ' ', 'g') AS name FROM supplier UNION SELECT DISTINCT 'the school board' UNION SELECT 'planning commission') SELECT d.doc_id, n.name FROM documents d JOIN n ON contains(' ' || regexp_replace(upper(d.text), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', ' ' || upper(n.name) || ' ') WHERE length(n.name) >= 10")
+@query("j17_text_contains_name")
 def j17(t):
     names = t("entities").where("name is not null").select("name").distinct()
     return text_contains_name(t("documents"), names.withColumn("key", D("name")), "doc_id", "text", "key", "name").select("doc_id", D("key").alias("name"))

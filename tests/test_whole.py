@@ -1,6 +1,6 @@
 """Queries that do the whole job where their SQL has only a part of it."""
 
-from landweave.queries import ORACLES, QUERIES
+from landweave.queries import QUERIES
 from tests.compare import database
 
 
@@ -18,13 +18,6 @@ def test_resolution_of_all_markets_and_fields(spark, tmp_path):
     assert got[1, 2] == 1.0 and got[1, 3] == round(0.3 / 0.65, 6) and got[3, 4] == 0.0
 
 
-def test_resolution_keeps_the_pairs_of_its_sql(spark, sf_dir):
-    name = "q23_entity_resolution"
-    got = {(r.l, r.r): r.score for r in QUERIES[name](spark, sf_dir).collect()}
-    want = database(sf_dir).execute(ORACLES[name]).fetchall()
-    assert want and len(got) > len(want) and all(abs(got[x, y] - float(score)) < 2e-6 for x, y, score in want)
-
-
 def test_centroid_of_every_owner(spark, tmp_path):
     state = "STATE TRANSPORTATION LAND RESERVE"
     rows = [(i, 1, f"p{i}", "2024-01-01", o, 29.0, -82.0) for i, o in enumerate([state, state, state, "A", None, None, None])]
