@@ -42,4 +42,10 @@ def wkt_point(lat: Column, lon: Column) -> Column:
     return F.concat(F.lit("POINT("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")"))
 
 
-__all__ = ["EARTH_M", "acres", "adaptive_cell", "grid_cell", "haversine_m", "haversine_miles", "in_box", "wkt_point"]
+def wkt_xy(wkt: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a WKT point, further dimensions dropped; null for anything else."""
+    part = [F.nullif(F.regexp_extract(wkt, r"^\s*(?i:POINT)(?:\s+(?i:ZM?|M))?\s*\(\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)(?:\s+[-+0-9.eE]+)*\s*\)\s*$", i), F.lit("")).try_cast("double") for i in (1, 2)]
+    return part[0], part[1]
+
+
+__all__ = ["EARTH_M", "acres", "adaptive_cell", "grid_cell", "haversine_m", "haversine_miles", "in_box", "wkt_point", "wkt_xy"]

@@ -200,6 +200,12 @@ def x31(t):
     return t.parcels.where(usable(D("latitude"), D("longitude")) & G.in_box(D("latitude"), D("longitude"), LAT0, LON0, 0.5)).select("parcel_key")
 
 
+@query("x32_points", "SELECT parcel_key, longitude AS x, latitude AS y, latitude IS NOT NULL AND longitude IS NOT NULL AS placed FROM parcels")
+def x32(t):
+    x, y = G.wkt_xy(G.wkt_point(D("latitude"), D("longitude")))
+    return t.parcels.select("parcel_key", F.when(D("latitude").isNull(), D("longitude")).otherwise(x).alias("x"), F.when(D("longitude").isNull(), D("latitude")).otherwise(y).alias("y"), G.wkt_point(D("latitude"), D("longitude")).isNotNull().alias("placed"))
+
+
 @query("x33_cosine_top", """SELECT chunk_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM chunks ORDER BY chunk_id LIMIT 1)), 6) AS v FROM chunks ORDER BY v DESC, chunk_id LIMIT 10""")
 def x33(t):
     q = t.chunks.orderBy("chunk_id").limit(1).select(D("embedding").alias("_q"))

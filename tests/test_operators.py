@@ -195,3 +195,13 @@ def test_facts_and_streams(spark, tmp_path):
     assert sorted(r.content for r in run(dedupe_stream(source, "at", "content", "3 hours"), "append")) == ["a", "b"]
     assert sorted((r.n, r.high, r.medium, r.low) for r in run(hourly_stream(source, "at", "method", "confidence"), "complete")) == [(1, 0, 1, 0), (2, 1, 0, 1)]
     assert sorted(r.n for r in sessions(spark.createDataFrame(rows, schema), "user", "at").collect()) == [1, 2]
+
+
+def test_points_of_wkt(spark):
+    from pyspark.sql import functions as F
+
+    from landweave.functions.geo import wkt_xy
+
+    texts = ["POINT(-82.5 29)", " point Z ( -82.5  29.25 7 ) ", "POINT EMPTY", "LINESTRING(0 0, 1 1)", "POINT(a b)", "", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, w string").select("i", *[c.alias(n) for n, c in zip("xy", wkt_xy(F.col("w")), strict=True)]).orderBy("i").collect()
+    assert [(r.x, r.y) for r in got] == [(-82.5, 29.0), (-82.5, 29.25), *[(None, None)] * 5]
