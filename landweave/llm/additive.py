@@ -9,7 +9,11 @@ inner products with all codewords, and the best ``rerank`` are compared exactly,
 The second coarse codebook is shared by all words of the first, so the number of lists can grow with the square root of
 the number of vectors while the sample stays bounded.
 
-A vector is first searched in its own list, where it lies already. What it finds there says how similar a member of
+The larger the collection, the fewer of its groups the sample has seen; the centres tell the members of such a group
+apart by little more than chance. A vector is therefore held in all of its nearest lists that are about as near as the
+nearest one: in one where the sample knows its group, in several elsewhere.
+
+A vector is first searched in its nearest list, where it lies already. What it finds there says how similar a member of
 another list would have to be; of the next nearest lists, only those whose centre and spread allow that are visited.
 
 Equal vectors are searched once. A list is cut into blocks of members and of queries, so one list that holds a large
@@ -125,13 +129,15 @@ def fit(x: np.ndarray, lists: int, books: int = 4, words: int = 128, rounds: int
     return model
 
 
-def search_block(model: AdditiveQuantiser, lst: int, members: dict, queries: dict, k: int, rerank: int, step: int = 1024):
+def search_block(model: AdditiveQuantiser, members: dict, queries: dict, k: int, rerank: int, step: int = 1024):
     """Of a block of one list: query number, member number and exact cosine (6 decimals) of the k best per query."""
     x, codes, norms = members["x"], members["codes"], members["norm"]
+    homes, home = np.unique(members["home"], return_inverse=True)
+    centres = model.centre(homes)
     for i in range(0, len(queries["x"]), step):
         q = queries["x"][i : i + step]
         table = model.tables(q)
-        score = (model.centre(np.array([lst]))[0] @ q.T)[None, :] + sum(table[m][codes[:, m]] for m in range(codes.shape[1]))
+        score = (centres @ q.T)[home] + sum(table[m][codes[:, m]] for m in range(codes.shape[1]))
         score /= norms[:, None]
         r = min(rerank, len(x))
         near = np.argpartition(-score, r - 1, axis=0)[:r].T
@@ -164,12 +170,14 @@ def distinct_vectors(df: DataFrame, key: str, vector: str, dim: int, copies: int
     return rows.select("id", "cls"), classes
 
 
-def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 128, k: int = 5, probes: int = 12, rerank: int = 96, reach: float = 0.75, sample: int = 32768, block: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim: int = 128, k: int = 5, probes: int = 12, rerank: int = 96, reach: float = 0.75, sample: int = 32768, block: int = 4096, spill: int = 8, slack: float = 0.05) -> DataFrame:
     """(id, neighbour, cosine): of every vector the k others most similar by cosine, rounded to 6 decimals, of equal
     ones those of smaller id. Approximate: what lies in none of the visited lists, or far down in one, is missed.
 
     ``sample``: the codebooks are fitted on at most so many rows; all rows are indexed and all are queries. The number
     of lists is four times the square root of the number of vectors. ``probes``: how many lists are considered.
+    ``spill``, ``slack``: a vector is held in up to so many of them, whose centres are farther than the nearest one by no
+    more than this share.
     ``reach``: one beyond a vector's own is visited if the inner product with its centre plus this share of its greatest
     residual is no less than the k-th cosine found so far; at 1 none is left out that can hold anything nearer. Empty
     input gives no rows."""
@@ -197,11 +205,12 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim
                 lists = m.nearest_lists(unit, probes)
                 codes = m.encode(unit, lists[:, 0])
                 norm = np.linalg.norm(m.decode(lists[:, 0], codes), axis=1)
-                spread = np.linalg.norm(unit - m.centre(lists[:, 0]), axis=1)
+                far = np.stack([np.linalg.norm(unit - m.centre(lists[:, j]), axis=1) for j in range(min(spill, lists.shape[1]))], axis=1)
+                near = np.maximum((far <= (1 + slack) * far[:, :1]).cumprod(axis=1).sum(axis=1), 1)
                 met = np.stack([(unit * m.centre(lists[:, j])).sum(1) for j in range(lists.shape[1])], axis=1)
-                yield pd.DataFrame({"cls": pdf["cls"].iloc[i : i + 2048], "ids": pdf["ids"].iloc[i : i + 2048], "vec": [r.tobytes() for r in part], "codes": [c.tobytes() for c in codes], "norm": np.maximum(norm, 1e-6), "spread": spread, "lists": list(lists.astype(np.int32)), "met": list(met.astype(np.float32))})
+                yield pd.DataFrame({"cls": pdf["cls"].iloc[i : i + 2048], "ids": pdf["ids"].iloc[i : i + 2048], "vec": [r.tobytes() for r in part], "codes": [c.tobytes() for c in codes], "norm": np.maximum(norm, 1e-6), "spreads": [r[:h] for r, h in zip(far.astype(np.float64), near, strict=True)], "lists": list(lists.astype(np.int32)), "met": list(met.astype(np.float32))})
 
-    packed = classes.select(F.struct("cls.h1", "cls.h2").alias("cls"), "ids", "embedding").mapInPandas(_struct_safe(encode), "h1 bigint, h2 bigint, ids array<bigint>, vec binary, codes binary, norm double, spread double, lists array<int>, met array<float>")
+    packed = classes.select(F.struct("cls.h1", "cls.h2").alias("cls"), "ids", "embedding").mapInPandas(_struct_safe(encode), "h1 bigint, h2 bigint, ids array<bigint>, vec binary, codes binary, norm double, spreads array<double>, lists array<int>, met array<float>")
     index = cut_lineage(packed)
 
     def search(mem: pd.DataFrame, que: pd.DataFrame) -> pd.DataFrame:
@@ -211,8 +220,8 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim
         xm, xq = _matrix(mem["vec"], dim), _matrix(que["q_vec"], dim)
         um, uq = _unit(xm), _unit(xq)
         codes = np.frombuffer(b"".join(mem["codes"]), np.int16).reshape(len(mem), -1)
-        side = {"x": xm, "unit": um, "codes": codes, "norm": mem["norm"].to_numpy(np.float32), "first": mem["first"].to_numpy()}
-        found = list(search_block(m, int(mem["list"].iloc[0]), side, {"x": uq.astype(np.float32), "unit": uq}, k + 1, rerank))
+        side = {"x": xm, "unit": um, "codes": codes, "norm": mem["norm"].to_numpy(np.float32), "first": mem["first"].to_numpy(), "home": mem["home"].to_numpy()}
+        found = list(search_block(m, side, {"x": uq.astype(np.float32), "unit": uq}, k + 1, rerank))
         q, r, cos = (np.concatenate(p) for p in zip(*found, strict=True))
         return pd.DataFrame({"h1": que["h1"].to_numpy()[q], "h2": que["h2"].to_numpy()[q], "first": mem["first"].to_numpy()[r], "ids": mem["ids"].to_numpy()[r], "cosine": cos})
 
@@ -221,11 +230,11 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim
         asked = queries.groupBy("list").agg(F.count(F.lit(1)).alias("q"))
         # one row per list, of which there are four times the square root of the number of vectors
         cut = held.join(asked, "list").select("list", F.greatest(F.ceil(F.col("m") / block), F.lit(1)).cast("int").alias("mb"), F.greatest(F.ceil(F.col("q") / (4 * block)), F.lit(1)).cast("int").alias("qb"))
-        members = index.withColumn("list", F.col("lists")[0]).join(F.broadcast(cut), "list").select("list", F.pmod("h1", "mb").cast("int").alias("mi"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qi"), F.col("ids")[0].alias("first"), "ids", "vec", "codes", "norm")
+        members = index.withColumn("list", F.explode(F.slice("lists", 1, F.size("spreads")))).join(F.broadcast(cut), "list").select("list", F.col("lists")[0].alias("home"), F.pmod("h1", "mb").cast("int").alias("mi"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qi"), F.col("ids")[0].alias("first"), "ids", "vec", "codes", "norm")
         sent = queries.join(F.broadcast(cut), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("mi"), F.pmod("h2", "qb").cast("int").alias("qi"), "h1", "h2", "vec").toDF("q_list", "q_mi", "q_qi", "h1", "h2", "q_vec")
         return members.groupBy("list", "mi", "qi").cogroup(sent.groupBy("q_list", "q_mi", "q_qi")).applyInPandas(lambda a, b: search(a, b), "h1 bigint, h2 bigint, first bigint, ids array<bigint>, cosine double")
 
-    held = index.groupBy(F.col("lists")[0].alias("list")).agg(F.count(F.lit(1)).alias("m"), F.max("spread").alias("spread"))
+    held = index.select("lists", F.posexplode("spreads").alias("_i", "spread")).groupBy(F.col("lists")[F.col("_i")].alias("list")).agg(F.count(F.lit(1)).alias("m"), F.max("spread").alias("spread"))
     at_home = cut_lineage(visit(index.select("h1", "h2", "vec", F.col("lists")[0].alias("list"))))
     # a class counts for its copies: the cosine that k others reach, or none if there are fewer
     ranks = W.partitionBy("h1", "h2").orderBy(F.desc("cosine"), "first").rowsBetween(W.unboundedPreceding, 0)
@@ -233,7 +242,8 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", dim
     further = index.join(enough, ["h1", "h2"], "left").select("h1", "h2", "vec", "kth", F.explode(F.slice(F.arrays_zip("lists", "met"), 2, probes)).alias("l"))
     further = further.select("h1", "h2", "vec", "kth", F.col("l.lists").alias("list"), F.col("l.met").alias("_met")).join(F.broadcast(held.select("list", "spread")), "list")
     abroad = visit(further.where(F.col("kth").isNull() | (F.col("_met") + reach * F.col("spread") >= F.col("kth"))).select("h1", "h2", "vec", "list"))
-    met = at_home.unionByName(abroad)
+    # a member that is held in several lists may be met in each
+    met = at_home.unionByName(abroad).repartition("h1", "h2").groupBy("h1", "h2", "first").agg(F.max("cosine").alias("cosine"), F.first("ids").alias("ids"))
     best = met.withColumn("_r", F.row_number().over(W.partitionBy("h1", "h2").orderBy(F.desc("cosine"), "first"))).where(F.col("_r") <= k + 1)
     # bounded: at most k + 1 classes of at most k + 1 ids
     ranked = best.groupBy("h1", "h2").agg(F.collect_list(F.struct("cosine", "ids")).alias("_c"))

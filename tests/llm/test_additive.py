@@ -70,3 +70,12 @@ def test_lists_outgrow_the_sample(spark):
     want = truth(x.astype(np.float64), list(range(1500)), 5)
     got = {tuple(r) for r in neighbour_pairs(nearest(frame(spark, x), dim=16, sample=200)).collect()}
     assert len(want & got) / len(want) > 0.9
+
+
+def test_groups_the_sample_has_not_seen(spark):
+    """600 groups of 10, of which a sample of 150 vectors has seen a few."""
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(600, 32))[np.repeat(np.arange(600), 10)] + rng.normal(size=(6000, 32)) * 0.4).astype(np.float32)
+    want = truth(x.astype(np.float64), list(range(6000)), 5)
+    got = {tuple(r) for r in neighbour_pairs(nearest(frame(spark, x), dim=32, sample=150)).collect()}
+    assert len(want & got) / len(want) > 0.97
