@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landweave.operators import rollups as R
 from landweave.operators.dual_tree import near_join, region_join, usable
-from landweave.operators.fuzzy import best_match, first_key_hit, similarity_join, text_contains_name
+from landweave.operators.fuzzy import best_similar, first_key_hit, similarity_join, text_contains_name
 from landweave.queries.base import Registry
 from landweave.queries.general import HAVERSINE
 from landweave.queries.scalars import OK, jaccard, word_grams
@@ -133,8 +133,7 @@ s AS (SELECT e.id AS l, r.id AS r, {jaccard('g', 'h')} AS s FROM e JOIN r ON lis
 
 @query("j14_fuzzy_top1", f"{SIMILAR} SELECT l, r, round(s, 6) AS similarity FROM s WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY l ORDER BY s DESC, r) = 1")
 def j14(t):
-    pairs = similarity_join(t("entities"), t("bulk_llc_records"), "id", "name", 0.7)
-    return best_match(pairs).select("l", "r", F.round("similarity", 6).alias("similarity"))
+    return best_similar(t("entities"), t("bulk_llc_records"), "id", "name", 0.7).select("l", "r", F.round("similarity", 6).alias("similarity"))
 
 
 @query("j14_fuzzy_all", f"{SIMILAR} SELECT l, r, round(s, 6) AS similarity FROM s WHERE s >= 0.3")
