@@ -9,7 +9,7 @@ from landweave.operators import rollups as R
 from landweave.operators import upsert as K
 from landweave.operators.chunking import boundaries, sentences
 from landweave.operators.dual_tree import usable
-from landweave.operators.fuzzy import best_match, similarity_join
+from landweave.operators.fuzzy import best_similar
 from landweave.operators.search import Criteria, search
 from landweave.queries.base import Registry
 from landweave.queries.scalars import OK
@@ -94,7 +94,7 @@ def q34(t):
     def side(df, key: str, address: str):
         return df.select(D(key).cast("string").alias("k"), D(address).alias("a"), "market_id")
 
-    best = best_match(similarity_join(side(t("crime_reports"), "id", "incident_address"), side(t.parcels, "parcel_key", "property_address"), "k", "a", 0.75, same="market_id"))
+    best = best_similar(side(t("crime_reports"), "id", "incident_address"), side(t.parcels, "parcel_key", "property_address"), "k", "a", 0.75, same="market_id")
     return best.select(D("l").cast("long").alias("id"), D("r").alias("parcel_key"), F.round("similarity", 6).alias("similarity"))
 
 
